@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from arqueo.functions.text import amount, composed, data, identifier, order_number
 from arqueo.functions.times import with_time
-from arqueo.llm import dedup, splits
-from arqueo.session import table, written
+from arqueo.llm import dedup, leakage, lookalike, mixture, pieces, splits, survivor, tokens
+from arqueo.session import small_side, table, written
 
 # --- 1: splits that keep related records together
 
@@ -99,7 +99,129 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(hit, "id", "left").groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_repeats"))
 
 
+# --- 5: best representative of each group
+
+SURVIVOR_FIELDS = ["importe", "proveedor", "nif", "estado"]
+
+
+def erp_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """erp_rows that have an order number: pedido, at, complete, snapshot_id, idx and the fields' canonical values (null: no candidate)."""
+    exports = table(spark, sf_dir, "erp_snapshot").groupBy("snapshot_id").agg(F.max(F.coalesce("complete", F.lit(False))).alias("complete"))
+    x = table(spark, sf_dir, "erp_rows").withColumn("pedido", order_number(F.col("pedido"))).filter("pedido IS NOT NULL")
+    value = lambda a, b, f: F.coalesce(f(F.col(a)), f(F.col(b)))
+    x = x.select("snapshot_id", "idx", "pedido", "fecha", "fecha_registro", value("importe", "importe_esperado", amount).cast("string").alias("importe"), value("proveedor", "proveedor_id", data).alias("proveedor"), data(F.col("nif")).alias("nif"), data(F.col("estado")).alias("estado"))
+    keep = ["snapshot_id", "idx", "pedido", *SURVIVOR_FIELDS]
+    # An export fills one spelling; of a row with both, the later counts.
+    one = F.when(F.col("fecha").isNull() | F.col("fecha_registro").isNull(), F.coalesce("fecha_registro", "fecha"))
+    x = with_time(x, one, "a", [*keep, "fecha", "fecha_registro"])
+    both = x.filter("fecha IS NOT NULL AND fecha_registro IS NOT NULL")
+    both = with_time(with_time(both, F.col("fecha"), "b", [*keep, "fecha_registro"]), F.col("fecha_registro"), "c", [*keep, "b_at"]).select(*keep, F.greatest("b_at", "c_at").alias("at"))
+    single = x.filter("fecha IS NULL OR fecha_registro IS NULL").select(*keep, F.col("a_at").alias("at"))
+    return single.union(both).join(small_side(exports), "snapshot_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+
+
+def _survivors(rows: DataFrame, precedence: DataFrame | None = None) -> DataFrame:
+    fields = {f: (F.col(f).isNotNull(), f) for f in SURVIVOR_FIELDS}
+    return survivor.survivors(rows, "pedido", fields, ["complete"], "at", ["snapshot_id", "idx"], precedence)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(erp_candidates(spark, sf_dir)).select("pedido", "field", "snapshot_id", "idx")
+
+
+def p5_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned order of values: field, value, depth."""
+    return survivor.learned_precedence(written(erp_candidates(spark, sf_dir), "candidates"), "pedido", "at", {f: f for f in SURVIVOR_FIELDS}, ["snapshot_id", "idx"])
+
+
+def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors where learned precedence decides among rows without time, with their values."""
+    rows = written(erp_candidates(spark, sf_dir), "candidates")
+    order = survivor.learned_precedence(rows, "pedido", "at", {f: f for f in SURVIVOR_FIELDS}, ["snapshot_id", "idx"])
+    return _survivors(rows, order).select("pedido", "field", "value", "at", "snapshot_id", "idx")
+
+
+# --- 6: text that looks the same
+
+
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of ocr_report and line of invoice_documents as tab, rec_key, item, a (as found), b (its counterpart)."""
+    report = table(spark, sf_dir, "ocr_report").select(F.lit("ocr_report").alias("tab"), F.col("file_id").alias("rec_key"), F.col("field").alias("item"), F.col("observed").alias("a"), F.col("expected").alias("b"))
+    schema = "pages ARRAY<STRUCT<lines: ARRAY<STRUCT<line_no: INT, raw_text: STRING, text: STRING>>>>"
+    lines = table(spark, sf_dir, "invoice_documents").filter("extraction IS NOT NULL").select("id", F.explode(F.flatten(F.from_json("extraction", schema)["pages"]["lines"])).alias("l"))
+    return report.union(lines.select(F.lit("invoice_documents"), "id", F.col("l.line_no").cast("string"), "l.raw_text", "l.text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_look(spark, text_pairs(spark, sf_dir)).select("tab", "rec_key", "item").distinct()
+
+
+def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct text of both tables that isn't in canonical form, with that form."""
+    pairs = text_pairs(spark, sf_dir)
+    return lookalike.canonical(spark, pairs.select(F.col("a").alias("text")).union(pairs.select("b")), "text").filter("text <> canon")
+
+
+# --- 7: evaluation texts in the corpus
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents and words each leaked item is found in."""
+    return p7_spans(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum(F.col("last_word") - F.col("first_word") + 1).alias("n_words"))
+
+
+# --- 8: sources to target weights
+
+
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokens.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return written(docs.select("doc_id", mixture.source_name(F.col("source")).alias("source"), "n_tokens"), "sized")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "mix_targets").withColumn("source", mixture.source_name(F.col("source")))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed(sized_documents(spark, sf_dir), "doc_id", _targets(spark, sf_dir))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed(sized_documents(spark, sf_dir), "doc_id", _targets(spark, sf_dir))[1]
+
+
+def p8_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report for a mix as large as the corpus, at which sources fall short."""
+    docs = sized_documents(spark, sf_dir)
+    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+    return mixture.mixed(docs, "doc_id", _targets(spark, sf_dir), total)[1]
+
+
+# --- 9: oversized texts
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_pieces(spark, sf_dir).filter("piece = 0").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_assignment": p1_assignment, "p1_shares": p1_shares,
     "p2_found": p2_found, "p2_batches": p2_batches,
+    "p5_found": p5_found, "p5_precedence": p5_precedence, "p5_current": p5_current,
+    "p6_found": p6_found, "p6_canonical": p6_canonical,
+    "p7_found": p7_found, "p7_spans": p7_spans, "p7_items": p7_items,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_shares_whole": p8_shares_whole,
+    "p9_found": p9_found, "p9_pieces": p9_pieces,
 }
