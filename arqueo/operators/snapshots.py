@@ -34,9 +34,8 @@ def snapshot_changes(rows: DataFrame, pairs: DataFrame, row_hash: str = "row_has
         ),
         lambda x: x["a"].isNotNull() & x["b"].isNotNull(),
     )
+    rows = rows.select("snapshot_id", "row_id", row_hash)
     tagged = rows.join(small_side(pairs), "snapshot_id").select(F.explode(sides).alias("s"), "row_id", F.col(row_hash).alias("h"))
-    # Per side the number of distinct hashes is not needed: equal minimum, maximum and xor of the distinct hashes of a side that
-    # repeats a row_id could still hide a change, so such rare ids keep their sorted sets.
     by = tagged.groupBy(F.col("s.a").alias("prev_snapshot_id"), F.col("s.b").alias("snapshot_id"), "row_id").agg(
         F.sort_array(F.collect_set(F.when(~F.col("s.later"), F.col("h")))).alias("before"),
         F.sort_array(F.collect_set(F.when(F.col("s.later"), F.col("h")))).alias("after"),
