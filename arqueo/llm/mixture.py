@@ -54,6 +54,7 @@ def select_copies(docs: DataFrame, doc_id: str, rates: DataFrame, seed: int = 7)
     The prefix sum has two levels: a count of documents before each cell (source, length, hash bucket), over a table of
     cells whose rows are bounded by sources, lengths and CELLS, and a running count within the cell. Documents are shuffled once.
     """
+    docs = docs.select(doc_id, "source", "n_tokens")
     x = docs.filter((F.col("n_tokens") > 0) & F.col(doc_id).isNotNull()).join(F.broadcast(rates.filter("copies > 0").select("source", "copies", "goal_tokens", "max_repeats")), "source")
     h = F.xxhash64(F.col(doc_id), F.lit(seed))
     x = x.select(F.col(doc_id), "source", "n_tokens", "copies", "goal_tokens", "max_repeats", h.alias("__h"), F.pmod(h, F.lit(CELLS)).cast("int").alias("__cell"))
