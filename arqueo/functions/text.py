@@ -44,7 +44,8 @@ def composed(c: Column) -> Column:
 
 def identifier(c: Column) -> Column:
     """Letter case, blanks, invisible characters and full-width forms don't count. Null stays null."""
-    return F.upper(F.regexp_replace(halfwidth(c), f"[{INVISIBLE}{BLANK}\\p{{Cc}}]+", ""))
+    plain = c.rlike("^[!-~]*$")  # nothing to take out
+    return F.when(plain, F.upper(c)).otherwise(F.upper(F.regexp_replace(halfwidth(c), f"[{INVISIBLE}{BLANK}\\p{{Cc}}]+", "")))
 
 
 def trimmed(c: Column) -> Column:
@@ -58,13 +59,20 @@ def no_data(cleaned: Column) -> Column:
 
 def data(c: Column) -> Column:
     """The identifier, or null where it is a no-data word."""
-    x = identifier(c)
-    return F.when(~no_data(x), x)
+    return data_of(identifier(c))
+
+
+def data_of(cleaned: Column) -> Column:
+    return F.when(~no_data(cleaned), cleaned)
 
 
 def order_number(c: Column) -> Column:
     """PO-yyyy-dddddd, or null where the text is no order number."""
-    x = F.regexp_replace(identifier(c), f"^PO[{DASHES}]*([0-9]{{4}})[{DASHES}]*([0-9]{{6}})$", "PO-$1-$2")
+    return order_number_of(identifier(c))
+
+
+def order_number_of(cleaned: Column) -> Column:
+    x = F.regexp_replace(cleaned, f"^PO[{DASHES}]*([0-9]{{4}})[{DASHES}]*([0-9]{{6}})$", "PO-$1-$2")
     return F.when(x.rlike("^PO-[0-9]{4}-[0-9]{6}$"), x)
 
 
@@ -74,11 +82,15 @@ def amount(c: Column) -> Column:
     A euro sign or EUR at either end doesn't count, nor do blanks. Of two marks the last is decimal and the
     other groups by threes; a mark that repeats groups by threes; a lone mark is decimal unless three digits follow.
     """
-    x = F.regexp_replace(identifier(c), r"^(?:EUR|€)|(?:EUR|€)$", "")
-    x = F.regexp_replace(x, r"^[\x{2212}\x{2013}]", "-")
+    return amount_of(identifier(c))
+
+
+def amount_of(cleaned: Column) -> Column:
+    x = F.regexp_replace(F.regexp_replace(cleaned, r"^(?:EUR|€)|(?:EUR|€)$", ""), r"^[\x{2212}\x{2013}]", "-")
     plain = (
-        F.when(x.rlike(r"^[+-]?[0-9]+$"), x)
+        F.when(cleaned.rlike(r"^[0-9]+[.,][0-9]{1,2}$"), F.translate(cleaned, ",", "."))
         .when(x.rlike(r"^[+-]?[0-9]+[.,](?:[0-9]{1,2}|[0-9]{4,6})$"), F.translate(x, ",", "."))
+        .when(x.rlike(r"^[+-]?[0-9]+$"), x)
         .when(x.rlike(r"^[+-]?[0-9]{1,3}(?:\.[0-9]{3})+,[0-9]{1,6}$"), F.translate(F.translate(x, ".", ""), ",", "."))
         .when(x.rlike(r"^[+-]?[0-9]{1,3}(?:,[0-9]{3})+\.[0-9]{1,6}$"), F.translate(x, ",", ""))
         .when(x.rlike(r"^[+-]?[0-9]{1,3}(?:\.[0-9]{3}){2,}$|^[+-]?[0-9]{1,3}(?:,[0-9]{3}){2,}$"), F.translate(x, ".,", ""))
