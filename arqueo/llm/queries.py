@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.functions.text import amount, composed, data, identifier, order_number
+from arqueo.functions.text import amount, amount_of, composed, data, data_of, identifier, order_number, order_number_of
 from arqueo.functions.times import with_time
 from arqueo.llm import dedup, leakage, lookalike, mixture, pieces, splits, survivor, tokens
 from arqueo.session import small_side, table, written
@@ -107,17 +107,16 @@ SURVIVOR_FIELDS = ["importe", "proveedor", "nif", "estado"]
 def erp_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """erp_rows that have an order number: pedido, at, complete, snapshot_id, idx and the fields' canonical values (null: no candidate)."""
     exports = table(spark, sf_dir, "erp_snapshot").groupBy("snapshot_id").agg(F.max(F.coalesce("complete", F.lit(False))).alias("complete"))
-    x = table(spark, sf_dir, "erp_rows").withColumn("pedido", order_number(F.col("pedido"))).filter("pedido IS NOT NULL")
-    value = lambda a, b, f: F.coalesce(f(F.col(a)), f(F.col(b)))
-    x = x.select("snapshot_id", "idx", "pedido", "fecha", "fecha_registro", value("importe", "importe_esperado", amount).cast("string").alias("importe"), value("proveedor", "proveedor_id", data).alias("proveedor"), data(F.col("nif")).alias("nif"), data(F.col("estado")).alias("estado"))
+    x = table(spark, sf_dir, "erp_rows")
+    # An export fills one spelling of a column; of a row with both, the first that is data counts, and the later time.
+    plain = {c: identifier(F.col(c)) for c in ("pedido", "importe", "importe_esperado", "proveedor", "proveedor_id", "nif", "estado")}
+    x = x.select("snapshot_id", "idx", "fecha", "fecha_registro", *[v.alias(c) for c, v in plain.items()])
+    x = x.select("snapshot_id", "idx", "fecha", "fecha_registro", order_number_of(F.col("pedido")).alias("pedido"), F.coalesce(amount_of(F.col("importe")), amount_of(F.col("importe_esperado"))).cast("string").alias("importe"), F.coalesce(data_of(F.col("proveedor")), data_of(F.col("proveedor_id"))).alias("proveedor"), data_of(F.col("nif")).alias("nif"), data_of(F.col("estado")).alias("estado"))
+    x = x.filter("pedido IS NOT NULL")
     keep = ["snapshot_id", "idx", "pedido", *SURVIVOR_FIELDS]
-    # An export fills one spelling; of a row with both, the later counts.
-    one = F.when(F.col("fecha").isNull() | F.col("fecha_registro").isNull(), F.coalesce("fecha_registro", "fecha"))
-    x = with_time(x, one, "a", [*keep, "fecha", "fecha_registro"])
-    both = x.filter("fecha IS NOT NULL AND fecha_registro IS NOT NULL")
-    both = with_time(with_time(both, F.col("fecha"), "b", [*keep, "fecha_registro"]), F.col("fecha_registro"), "c", [*keep, "b_at"]).select(*keep, F.greatest("b_at", "c_at").alias("at"))
-    single = x.filter("fecha IS NULL OR fecha_registro IS NULL").select(*keep, F.col("a_at").alias("at"))
-    return single.union(both).join(small_side(exports), "snapshot_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    x = with_time(with_time(x, F.col("fecha"), "a", [*keep, "fecha_registro"]), F.col("fecha_registro"), "b", [*keep, "a_at"])
+    x = x.select(*keep, F.greatest("a_at", "b_at").alias("at"))
+    return x.join(small_side(exports), "snapshot_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
 
 
 def _survivors(rows: DataFrame, precedence: DataFrame | None = None) -> DataFrame:
