@@ -76,7 +76,7 @@ def dedup_batch(new: DataFrame, index: str, agree: int, first: bool = False) ->
     """
     spark = new.sparkSession
     keys = written(_exploded(new), "keys")
-    open_ids = new.select("id")
+    everyone = keys
     repeats = []
     if not first:
         buckets = [r[0] for r in keys.select("bucket").distinct().collect()]
@@ -84,8 +84,6 @@ def dedup_batch(new: DataFrame, index: str, agree: int, first: bool = False) ->
         hits = written(keys.filter("later").join(kept, ["bucket", "key"]).filter(_verified(agree)).select("id", "kept_id").distinct(), "hits")
         repeats.append(hits)
         keys = written(keys.join(hits.select("id").distinct(), "id", "left_anti"), "keys")
-        open_ids = open_ids.join(hits.select("id").distinct(), "id", "left_anti")
-    # A record alone under its keys is accepted at once; the rounds are about the rest.
     rest = keys
     accepted = []
     while True:
@@ -103,13 +101,14 @@ def dedup_batch(new: DataFrame, index: str, agree: int, first: bool = False) ->
         rest = written(left.join(lost, "id", "left_anti"), "rest")
         if rest.limit(1).count() == 0:
             break
-    keyless = new.filter(F.size("keys") == 0).select("id")
+    keyless = new.filter(F.size("keys") == 0).select("id")  # nothing to compare
     won = accepted[0]
     for x in accepted[1:]:
         won = won.union(x)
     won = written(won.union(keyless), "accepted")
     own = written(keys.join(won, "id", "left_semi").select("id", "ord", "kind", "key", "sig", "bucket"), "own")
-    inner = keys.join(won, "id", "left_anti").filter("later").join(own.select("bucket", "key", F.col("id").alias("kept_id"), F.col("ord").alias("kept_ord"), F.col("sig").alias("kept_sig")), ["bucket", "key"])
+    # A record that repeats older ones may repeat some of its own batch besides.
+    inner = everyone.join(won, "id", "left_anti").filter("later").join(own.select("bucket", "key", F.col("id").alias("kept_id"), F.col("ord").alias("kept_ord"), F.col("sig").alias("kept_sig")), ["bucket", "key"])
     repeats.append(inner.filter((F.col("kept_ord") < F.col("ord")) & _verified(agree)).select("id", "kept_id").distinct())
     own.drop("ord").repartition("bucket").write.mode("overwrite" if first else "append").partitionBy("bucket").parquet(index)
     out = repeats[0]
