@@ -85,24 +85,26 @@ def canonical(spark: SparkSession, texts: DataFrame, column: str) -> DataFrame:
 
     Each text that isn't plain ASCII is exploded into positioned code points. A broadcast join maps each to its decomposition,
     look-alike letter, plain space or hyphen, or to nothing; marks are put in order of their class, stably, behind their base; base
-    and marks are composed again; and the characters are joined. One shuffle: the distinct texts are partitioned by text, and all
-    that follows keeps that partitioning. Null is no text and gives no row; the empty text is its own canon, as is text
+    and marks are composed again; and the characters are joined. One shuffle: the distinct texts are partitioned by digest, and
+    all that follows keeps that partitioning; a text of any length is rebuilt by one task. Null is no text and gives no row; the empty text is its own canon, as is text
     of invisible characters only. Letter case, missing accents, the number of blanks and digits for letters stay different.
     """
     table = F.broadcast(spark.createDataFrame(mapping(), "cp int, j int, ccc int, ch string"))
-    x = texts.select(F.col(column).alias("text")).filter(F.col("text").isNotNull()).distinct()
-    # Splitting at every place keeps surrogate pairs together. Plain text stays one piece.
+    x = texts.select(F.unhex(F.md5(F.col(column))).alias("key"), F.col(column).alias("text")).filter(F.col("text").isNotNull())
+    x = x.groupBy("key").agg(F.first("text").alias("text"))
+    # Splitting at every place keeps surrogate pairs together. Plain text stays one piece. The key stands for the text, of which
+    # each code point would else carry a copy.
     pieces = F.when(F.col("text").rlike(PLAIN), F.array("text")).otherwise(F.split("text", ""))
-    points = x.select("text", F.posexplode(pieces).alias("pos", "c"))
+    points = x.select("key", F.posexplode(pieces).alias("pos", "c"))
     mapped = points.join(table, (F.col("cp") == F.ascii("c")) & (F.length("c") == 1), "left")
-    mapped = mapped.select("text", "pos", F.coalesce("j", F.lit(0)).alias("j"), F.coalesce("ccc", F.lit(0)).alias("ccc"), F.coalesce("ch", "c").alias("ch")).filter("ch <> ''")
-    base = F.count_if(F.col("ccc") == 0).over(Window.partitionBy("text").orderBy("pos", "j"))
-    clusters = mapped.select("text", base.alias("base"), "pos", "j", "ccc", "ch").groupBy("text", "base").agg(
+    mapped = mapped.select("key", "pos", F.coalesce("j", F.lit(0)).alias("j"), F.coalesce("ccc", F.lit(0)).alias("ccc"), F.coalesce("ch", "c").alias("ch")).filter("ch <> ''")
+    base = F.count_if(F.col("ccc") == 0).over(Window.partitionBy("key").orderBy("pos", "j"))
+    clusters = mapped.select("key", base.alias("base"), "pos", "j", "ccc", "ch").groupBy("key", "base").agg(
         F.coalesce(F.max(F.when(F.col("ccc") == 0, F.col("ch"))), F.lit("")).alias("head"),
         F.sort_array(F.collect_list(F.when(F.col("ccc") > 0, F.struct("ccc", "pos", "j", "ch")))).alias("marks"),
     )
-    whole = clusters.groupBy("text").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", _recomposed().alias("s")))), lambda c: c["s"]), "").alias("canon"))
-    return whole.select(F.col("text").alias(column), "canon").union(x.filter(F.trim(F.regexp_replace("text", r"[^ -~]", "")) == "").join(whole.select("text"), "text", "left_anti").select(F.col("text").alias(column), F.lit("").alias("canon")))
+    whole = clusters.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", _recomposed().alias("s")))), lambda c: c["s"]), "").alias("canon"))
+    return x.join(whole, "key", "left").select(F.col("text").alias(column), F.coalesce("canon", F.lit("")).alias("canon"))
 
 
 def _recomposed() -> Column:
