@@ -21,21 +21,23 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
-def plan(available: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def plan(available: DataFrame, targets: DataFrame, total_tokens: int | None = None, meet_all: bool = False) -> DataFrame:
     """One row for each target source: source, target_share, max_repeats, available_tokens, goal_tokens, copies.
 
-    copies is the expected number of times that each document appears: goal over available tokens, at most max_repeats. Without
-    ``total_tokens`` the size is the largest at which every source that has any text reaches its share: the least of available
-    tokens times max_repeats over share. With it, a source that can't reach its goal gives all it has, and what it lacks isn't
-    made up by others. An absent source has 0 copies. Shares are taken as they are, whatever their sum.
+    copies is the expected number of times that each document appears: goal over available tokens, at most max_repeats. The goals
+    add up to ``total_tokens``, or without it to the tokens available in the target sources. A source that can't reach its goal
+    gives all it has max_repeats times, and what it lacks isn't made up by others. With ``meet_all`` the total is the largest at
+    which every source that has any text reaches its share: the least of available tokens times max_repeats over share, so that
+    the scarcest source sets the size. An absent source has 0 copies. Shares are taken as they are, whatever their sum.
     """
     by = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     x = by.join(available, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"))
     most = F.col("available_tokens") * F.col("max_repeats")
-    if total_tokens is None:
-        reach = x.agg(F.min(F.when((F.col("target_share") > 0) & (most > 0), most / F.col("target_share"))).alias("total"))
+    if meet_all:
+        total = F.min(F.when((F.col("target_share") > 0) & (most > 0), most / F.col("target_share")))
     else:
-        reach = x.agg(F.lit(float(total_tokens)).alias("total"))
+        total = F.sum("available_tokens").cast("double") if total_tokens is None else F.max(F.lit(float(total_tokens)))
+    reach = x.agg(total.alias("total"))
     x = x.crossJoin(F.broadcast(reach))  # one row
     goal = F.coalesce(F.col("total") * F.col("target_share"), F.lit(0.0))
     copies = F.when(most > 0, F.least(goal / F.col("available_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
@@ -98,14 +100,14 @@ def _closer(x: DataFrame, doc_id: str) -> DataFrame:
     return x.join(F.broadcast(spark.createDataFrame(changes, schema)), doc_id, "left").withColumn("repeats", F.col("repeats") + F.coalesce("change", F.lit(0)))
 
 
-def mixed(docs: DataFrame, doc_id: str, targets: DataFrame, total_tokens: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, doc_id: str, targets: DataFrame, total_tokens: int | None = None, meet_all: bool = False, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of docs (doc_id, source, n_tokens) for targets (source, target_share, max_repeats).
 
     The report has a row for each target source: what is available, the goal, selected tokens, actual and target share, and whether
     it falls short of its goal, being absent or exhausted at max_repeats.
     """
     available = docs.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long")).alias("available_tokens"))
-    rates = written(plan(available, targets, total_tokens), "rates")
+    rates = written(plan(available, targets, total_tokens, meet_all), "rates")
     selection = select_copies(docs, doc_id, rates, seed)
     got = selection.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
     x = rates.join(got, "source", "left")
