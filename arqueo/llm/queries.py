@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arqueo.functions.text import amount, amount_of, composed, data, data_of, identifier, order_number, order_number_of
 from arqueo.functions.times import with_time
 from arqueo.llm import dedup, leakage, lookalike, mixture, pieces, splits, survivor, tokens
+from arqueo.llm.sql import SQL  # noqa: F401
 from arqueo.session import small_side, table, written
 
 # --- 1: splits that keep related records together
