@@ -106,6 +106,7 @@ def mixed(docs: DataFrame, doc_id: str, targets: DataFrame, total_tokens: int |
     The report has a row for each target source: what is available, the goal, selected tokens, actual and target share, and whether
     it falls short of its goal, being absent or exhausted at max_repeats.
     """
+    docs = docs.filter(F.col(doc_id).isNotNull())  # what nothing can name isn't available
     available = docs.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long")).alias("available_tokens"))
     rates = written(plan(available, targets, total_tokens, meet_all), "rates")
     selection = select_copies(docs, doc_id, rates, seed)
