@@ -138,7 +138,7 @@ def p5_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors where learned precedence decides among rows without time, with their values."""
+    """Survivors where learned precedence places rows without time, among each other and against dated ones, with their values."""
     rows = written(erp_candidates(spark, sf_dir), "candidates")
     order = survivor.learned_precedence(rows, "pedido", "at", {f: f for f in SURVIVOR_FIELDS}, ["snapshot_id", "idx"])
     return _survivors(rows, order).select("pedido", "field", "value", "at", "snapshot_id", "idx")

@@ -1,6 +1,9 @@
 """Queries do the whole job, where they once did less."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from arqueo.llm import survivor
 
 
 def missed(report):
@@ -14,3 +17,15 @@ def test_mix_meets_the_shares(spark, sf):
     assert missed(report) < missed(entry.queries()["p8_shares_sized"](spark, sf))
     docs = {r["source"]: r["count"] for r in entry.queries()["p8_mix"](spark, sf).groupBy("source").count().collect()}
     assert docs == {r["source"]: r["n_docs"] for r in report.collect() if r["n_docs"]}
+
+
+def test_undated_rows_against_dated_ones(spark):
+    data = [
+        ("later", 1, "open"), ("later", None, "paid"), ("earlier", 1, "paid"), ("earlier", None, "open"), ("same", 1, "paid"), ("same", None, "paid"), ("unknown", 1, "other"), ("unknown", None, "paid"),
+        ("news", 1, "paid"), ("news", 2, "open"), ("news", None, "held"), ("no depth", 1, "open"), ("no depth", None, "other"),
+    ]
+    df = spark.createDataFrame([(g, t, i, v, g == "later" and t == 1) for i, (g, t, v) in enumerate(data)], "g string, at int, i int, v string, sure boolean")
+    order = spark.createDataFrame([("v", v, d) for d, v in enumerate(["open", "held", "paid"])], "field string, value string, depth int")
+    got = lambda trust: {r["g"]: (r["value"], r["at"]) for r in survivor.survivors(df, "g", {"v": (F.col("v").isNotNull(), "v")}, trust, "at", ["i"], order).collect()}
+    assert got([]) == {"later": ("paid", None), "earlier": ("paid", 1), "same": ("paid", 1), "unknown": ("other", 1), "news": ("held", None), "no depth": ("open", 1)}
+    assert got(["sure"])["later"] == ("open", 1)
