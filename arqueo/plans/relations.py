@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arqueo.functions import candidates as cand
 from arqueo.functions.identity import fold
 from arqueo.functions.text import amount, data, identifier, order_number
 from arqueo.operators import relational as rel
@@ -390,6 +391,14 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", F.col("l.line_no").alias("line_no"), F.explode(found).alias("c")).select("id", "line_no", "c.*")
 
 
+@query()
+def ex_field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for ten fields in the lines of invoices, with the labels of seven languages."""
+    schema = "pages ARRAY<STRUCT<lines: ARRAY<STRUCT<line_no: INT, text: STRING>>>>"
+    x = table(spark, sf_dir, "invoice_documents").filter("extraction IS NOT NULL").select("id", F.explode(F.flatten(F.from_json("extraction", schema)["pages"]["lines"])).alias("l"))
+    return x.select("id", F.col("l.line_no").alias("line_no"), F.explode(cand.candidates(F.col("l.text"))).alias("c")).select("id", "line_no", "c.*")
+
+
 @query("""
 WITH k AS (SELECT id, extraction, unnest(json_keys(extraction, '$.fields')) AS field FROM invoice_documents WHERE extraction IS NOT NULL),
 e AS (SELECT id, field, CAST(json_extract(extraction, '$.fields.' || field || '.evidence') AS JSON[]) AS ev FROM k),
@@ -415,6 +424,17 @@ def ex_text_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[F.col("t").rlike(p).alias(k) for k, p in _FAMILIES.items()])
 
 
+@query()
+def ex_manipulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a phrase of a family of manipulation, and which families; lines of invoices are one text each."""
+    schema = "pages ARRAY<STRUCT<lines: ARRAY<STRUCT<text: STRING>>>>"
+    lines = table(spark, sf_dir, "invoice_documents").select(F.lit("invoice_documents").alias("tab"), F.col("id").alias("rec_key"), F.array_join(F.flatten(F.from_json("extraction", schema)["pages"]["lines"])["text"], " ").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents"), F.col("doc_id").cast("string"), "text")
+    by = cand.families(F.col("text"))
+    x = lines.union(docs).filter("text IS NOT NULL").select("tab", "rec_key", *[v.alias(k) for k, v in by.items()])
+    return x.filter(" OR ".join(by))
+
+
 @query("""
 SELECT strftime(to_timestamp(floor(epoch(ts) / 3600) * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:00') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def st_hourly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
