@@ -50,12 +50,9 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The component table alone tells the groups: built from the files that have a split today, then merged with the others."""
-    labels, today = table(spark, sf_dir, "ocr_labels"), written(splits_today(spark, sf_dir), "today")
-    edges = written(splits.edges_of(labels, "file_id", label_keys(labels)), "edges")
-    known = today.select(F.concat(F.lit("r:"), "record").alias("a")).distinct()
-    members = written(splits.merge_components(edges.join(known, "a", "left_semi")), "members")
-    nodes = written(splits.merge_components(edges.join(known, "a", "left_anti"), members), "members")
+    """The groups of the state that assigning the splits returns."""
+    today = written(splits_today(spark, sf_dir), "today")
+    nodes = p1_state(spark, sf_dir)[0].members
     files = nodes.filter("node LIKE 'r:%'").select(F.substr("node", F.lit(3)).alias("file_id"), "component")
     names = nodes.filter("node LIKE 'supplier:%'").groupBy("component").agg(F.min(F.substr("node", F.lit(10))).alias("group_id"))
     broken = files.join(today.withColumnRenamed("record", "file_id"), "file_id").groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from arqueo.llm import survivor
+from arqueo.llm import splits, survivor
 
 
 def missed(report):
@@ -29,3 +29,12 @@ def test_undated_rows_against_dated_ones(spark):
     got = lambda trust: {r["g"]: (r["value"], r["at"]) for r in survivor.survivors(df, "g", {"v": (F.col("v").isNotNull(), "v")}, trust, "at", ["i"], order).collect()}
     assert got([]) == {"later": ("paid", None), "earlier": ("paid", 1), "same": ("paid", 1), "unknown": ("other", 1), "news": ("held", None), "no depth": ("open", 1)}
     assert got(["sure"])["later"] == ("open", 1)
+
+
+def test_groups_come_from_the_assignment(spark, sf, monkeypatch):
+    calls, assign = [], splits.assign_splits
+    monkeypatch.setattr(splits, "assign_splits", lambda *a: calls.append(assign(*a)) or calls[-1])
+    found = entry.queries()["p1_found"](spark, sf)
+    assert len(calls) == 2
+    status = calls[-1][1].select(F.col("record").alias("file_id"), "split", "status")
+    assert found.count() > 0 and found.join(status.filter("split IS NOT NULL AND status = 'quarantined'"), "file_id", "left_anti").count() == 0
