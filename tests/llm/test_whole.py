@@ -38,3 +38,27 @@ def test_groups_come_from_the_assignment(spark, sf, monkeypatch):
     assert len(calls) == 2
     status = calls[-1][1].select(F.col("record").alias("file_id"), "split", "status")
     assert found.count() > 0 and found.join(status.filter("split IS NOT NULL AND status = 'quarantined'"), "file_id", "left_anti").count() == 0
+
+
+def precedence(spark, data):
+    df = spark.createDataFrame(data, "g string, at int, i int, v string")
+    return {r["value"]: r["depth"] for r in survivor.learned_precedence(df, "g", "at", {"v": "v"}, ["i"]).collect()}
+
+
+def test_a_row_without_the_field_breaks_no_chain(spark):
+    got = precedence(spark, [(f"g{k}", t, t, v) for k in range(3) for t, v in enumerate(["a", None, "b"])])
+    assert got == {"a": 0, "b": 1}
+
+
+def test_only_transitions_on_circles_are_dropped(spark):
+    chain = lambda name, n, a, b: [(f"{name}{k}", t, t, v) for k in range(n) for t, v in enumerate([a, b])]
+    got = precedence(spark, chain("p", 30, "x", "a") + chain("q", 3, "a", "b") + chain("r", 30, "b", "y"))
+    assert got["x"] < got["a"] < got["b"] < got["y"]
+    got = precedence(spark, chain("p", 5, "a", "b") + chain("q", 4, "b", "c") + chain("r", 3, "c", "a") + chain("s", 3, "c", "d"))
+    assert set(got) == {"a", "b", "c", "d"} and got["c"] < got["d"]
+
+
+def test_on_circles(spark):
+    edges = [("f", *e) for e in ["ab", "bc", "ca", "cd", "de", "ed", "ex", "xy", "zz", "pq"]] + [("g", "a", "b")]
+    got = {tuple(r) for r in survivor.on_circles(spark.createDataFrame(edges, "field string, a string, b string")).collect()}
+    assert got == {("f", *e) for e in ["ab", "bc", "ca", "de", "ed", "zz"]}
