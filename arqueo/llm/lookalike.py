@@ -27,7 +27,7 @@ def mapping() -> list[tuple[int, int, int, str]]:
 
     Made by rule from the Unicode data: canonical decompositions, full- and half-width and no-break forms, spaces and dashes of
     all kinds, look-alike letters; invisible characters decompose into nothing (an empty string). Superscripts, ligatures and other
-    compatibility forms look different and stay. About 5,000 rows, as many as Unicode has.
+    compatibility forms look different and stay. Hangul is composed by rule elsewhere. Some thousand rows, as many as Unicode has.
     """
     spaces = {i for i in range(0x3100) if unicodedata.category(chr(i)) == "Zs" or chr(i) in "\t\x0b\x0c\x85"} | {0x2800}
     dashes = {0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2043, 0x2212, 0x02D7, 0xFE58, 0xFE63, 0xFF0D, 0x2796}
@@ -51,7 +51,7 @@ def mapping() -> list[tuple[int, int, int, str]]:
         return ch
 
     out = []
-    for i in range(0x80, 0x30000):
+    for i in range(0x80, 0xE0200):
         if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4:
             continue
         e = expand(chr(i))
@@ -104,7 +104,21 @@ def canonical(spark: SparkSession, texts: DataFrame, column: str) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("ccc") > 0, F.struct("ccc", "pos", "j", "ch")))).alias("marks"),
     )
     whole = clusters.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base", _recomposed().alias("s")))), lambda c: c["s"]), "").alias("canon"))
-    return x.join(whole, "key", "left").select(F.col("text").alias(column), F.coalesce("canon", F.lit("")).alias("canon"))
+    return x.join(whole, "key", "left").select(F.col("text").alias(column), _syllables(F.coalesce("canon", F.lit(""))).alias("canon"))
+
+
+def _syllables(c: Column) -> Column:
+    """Letters of Hangul composed to syllables, by rule."""
+    final = r"[\x{11A8}-\x{11C2}]"
+    pieces = F.regexp_extract_all(c, F.lit(rf"[\x{{1100}}-\x{{1112}}][\x{{1161}}-\x{{1175}}]{final}?|[\x{{AC00}}-\x{{D7A3}}]{final}|(?s:.)"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        at = lambda k: F.ascii(F.substring(p, k, 1))
+        letters = 0xAC00 + ((at(1) - 0x1100) * 21 + at(2) - 0x1161) * 28 + F.when(F.length(p) == 3, at(3) - 0x11A7).otherwise(0)
+        syllable = F.when(at(1) < 0xAC00, letters).when((at(1) - 0xAC00) % 28 == 0, at(1) + at(2) - 0x11A7)
+        return F.when(F.length(p) == 1, p).otherwise(F.coalesce(F.decode(F.unhex(F.hex(syllable)), "UTF-16BE"), p))
+
+    return F.when(c.rlike(r"[\x{1161}-\x{1175}\x{11A8}-\x{11C2}]"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
 def _recomposed() -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from arqueo.llm import splits, survivor
+from arqueo.llm import lookalike, splits, survivor
 
 
 def missed(report):
@@ -62,3 +62,11 @@ def test_on_circles(spark):
     edges = [("f", *e) for e in ["ab", "bc", "ca", "cd", "de", "ed", "ex", "xy", "zz", "pq"]] + [("g", "a", "b")]
     got = {tuple(r) for r in survivor.on_circles(spark.createDataFrame(edges, "field string, a string, b string")).collect()}
     assert got == {("f", *e) for e in ["ab", "bc", "ca", "de", "ed", "zz"]}
+
+
+def test_late_invisible_characters_and_hangul(spark):
+    texts = ["caf\u00e9", "caf\u00e9\U000e0101", "c\U000e0041af\u00e9", "\ud55c\uae00", "\u1112\u1161\u11ab\u1100\u1173\u11af", "\ud558\uae00"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    canon = {r[0]: r[1] for r in lookalike.canonical(spark, df, "text").collect()}
+    got = [canon[t] for t in texts]
+    assert got[0] == got[1] == got[2] == "caf\u00e9" and got[3] == got[4] == "\ud55c\uae00" != got[5]
