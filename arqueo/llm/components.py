@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.session import new_path, written
+from arqueo.session import written
 
 
 def _resolve(spark, parents: DataFrame) -> DataFrame:
-    """Pointer jumping: replaces each parent by its own parent until all are roots. parents: node, parent, with parent < node."""
+    """Pointer jumping: replaces each parent by its own parent until all are roots. parents: node, parent, with parent < node.
+
+    A written round jumps twice over the table that it begins with, so that pointers get three times as long.
+    """
     while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        path = new_path(spark, "jump")
-        nxt = written(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), path=path)
+        a, b = (parents.select(F.col("node").alias(k), F.col("parent").alias(f"over_{k}")) for k in ("parent", "over_parent"))
+        x = parents.join(a, "parent", "left").join(b, "over_parent", "left")
+        nxt = written(x.select("node", F.coalesce("over_over_parent", "over_parent", "parent").alias("parent"), F.col("over_over_parent").isNotNull().alias("moved")), "jump")
         if nxt.filter("moved").limit(1).count() == 0:
             return nxt.select("node", "parent")
         parents = nxt.select("node", "parent")

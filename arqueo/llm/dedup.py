@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arqueo.functions.text import BLANK, composed, data, halfwidth
+from arqueo.llm.segments import Segments
 from arqueo.session import new_path, written
 
-#: Files of the key table; a batch reads only those that its own keys fall into.
-BUCKETS = 16
-
 
 def digest(*parts: Column) -> Column:
     """128 bits that stand for the parts."""
@@ -22,9 +21,9 @@ def digest(*parts: Column) -> Column:
 def band_keys(slots: list[Column], agree: int) -> Column:
     """The band keys of a record whose similarity is the number of slots in which two records agree.
 
-    The minwise signature has the hash of each slot's value. A band takes ``agree`` slots, and all choices of them are bands,
-    so that two records with ``agree`` equal slots meet in one for certain; with random rows they might not. A band that
-    lacks a value has no key. Array of structs kind, key.
+    The signature has the hash of each slot's value, not minima over random permutations: a band takes ``agree`` slots, and all
+    choices of them are bands, so that two records with ``agree`` equal slots meet in one for certain; with minwise rows they
+    might not. A band that lacks a value has no key. Array of structs kind, key.
     """
     bands = [
         F.when(F.forall(F.array(*[slots[i] for i in c]), lambda x: x.isNotNull()), F.struct(F.lit("band").alias("kind"), digest(F.lit("-".join(map(str, c))), *[slots[i] for i in c]).alias("key")))
@@ -49,7 +48,7 @@ def features(df: DataFrame, record: Column, order: Column, exact: dict[str, Colu
 
 
 def _exploded(df: DataFrame) -> DataFrame:
-    return df.select("id", "ord", "sig", F.explode("keys").alias("k")).select("id", "ord", "sig", "k.*").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    return df.select("id", "ord", "sig", F.explode("keys").alias("k")).select("id", "ord", "sig", "k.*").withColumn("hash", F.xxhash64("key"))
 
 
 def _verified(agree: int) -> Column:
@@ -58,15 +57,17 @@ def _verified(agree: int) -> Column:
     return (F.col("kind") != "band") | (same >= agree)
 
 
-def read_index(spark: SparkSession, index: str, buckets: list[int] | None = None) -> DataFrame:
-    x = spark.read.schema("id string, kind string, key binary, sig array<bigint>, bucket int").parquet(index)
-    return x if buckets is None else x.filter(F.col("bucket").isin(buckets))
+def key_index(spark: SparkSession, folder: str) -> Segments:
+    """The table of accepted keys: id, kind, key, sig."""
+    return Segments(spark, folder, "id string, kind string, key binary, sig array<bigint>")
 
 
-def dedup_batch(new: DataFrame, index: str, agree: int, first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Accepts what is new in a batch and appends its keys to the index.
+def dedup_batch(new: DataFrame, index: Segments, agree: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """Accepts what is new in a batch and adds its keys to the index.
 
-    new: as from ``features``. index: the folder of the key table, partitioned by hash of the key; with ``first`` it is begun.
+    new: as from ``features``. index: as from ``key_index``; of it the buckets of the batch's own keys are read, in what the
+    steps before ``step`` left. Steps are numbered in order of arrival. A step that runs again, after a failure or
+    once more, sees the same history and replaces its own keys: it gives the same rows and finds no repeats of itself.
     Returns (accepted, repeats): accepted has id; repeats has id and kept_id, one row for each accepted record, of this batch or
     before, that the record repeats. A record that repeats only rejected records is accepted.
 
@@ -74,23 +75,17 @@ def dedup_batch(new: DataFrame, index: str, agree: int, first: bool = False) ->
     and then those under the same keys are rejected. Only minimums per key are computed, so a key that a third of the batch
     shares costs no more than its rows; rounds are as many as repeats form chains. An empty batch changes nothing.
     """
-    spark = new.sparkSession
     keys = written(_exploded(new), "keys")
     everyone = keys
-    repeats = []
-    if not first:
-        buckets = [r[0] for r in keys.select("bucket").distinct().collect()]
-        kept = read_index(spark, index, buckets).select("bucket", "key", F.col("id").alias("kept_id"), F.col("sig").alias("kept_sig"))
-        hits = written(keys.filter("later").join(kept, ["bucket", "key"]).filter(_verified(agree)).select("id", "kept_id").distinct(), "hits")
-        repeats.append(hits)
-        keys = written(keys.join(hits.select("id").distinct(), "id", "left_anti"), "keys")
-    rest = keys
+    kept = index.read(keys, before=step).select("key", F.col("id").alias("kept_id"), F.col("sig").alias("kept_sig"))
+    hits = written(keys.filter("later").join(kept, "key").filter(_verified(agree)).select("id", "kept_id").distinct(), "hits")
+    repeats = [hits]
+    rest = keys = written(keys.join(hits.select("id").distinct(), "id", "left_anti"), "keys")
     accepted = []
     while True:
         low = rest.groupBy("key").agg(F.min("ord").alias("low"))
-        waits = rest.filter("later").join(low, "key").groupBy("id").agg(F.max(F.col("low") < F.col("ord")).alias("waits"))
-        ids = rest.select("id").distinct().join(waits, "id", "left")
-        state = written(ids.select("id", F.coalesce("waits", F.lit(False)).alias("waits")), "state")
+        waits = rest.join(low, "key").groupBy("id").agg(F.max(F.col("later") & (F.col("low") < F.col("ord"))).alias("waits"))
+        state = written(waits, "state")
         won = state.filter("NOT waits").select("id")
         accepted.append(won)
         if state.filter("waits").limit(1).count() == 0:
@@ -102,19 +97,13 @@ def dedup_batch(new: DataFrame, index: str, agree: int, first: bool = False) ->
         if rest.limit(1).count() == 0:
             break
     keyless = new.filter(F.size("keys") == 0).select("id")  # nothing to compare
-    won = accepted[0]
-    for x in accepted[1:]:
-        won = won.union(x)
-    won = written(won.union(keyless), "accepted")
-    own = written(keys.join(won, "id", "left_semi").select("id", "ord", "kind", "key", "sig", "bucket"), "own")
+    won = written(reduce(DataFrame.union, accepted).union(keyless), "accepted")
+    own = written(keys.join(won, "id", "left_semi").select("id", "ord", "kind", "key", "sig", "hash"), "own")
     # A record that repeats older ones may repeat some of its own batch besides.
-    inner = everyone.join(won, "id", "left_anti").filter("later").join(own.select("bucket", "key", F.col("id").alias("kept_id"), F.col("ord").alias("kept_ord"), F.col("sig").alias("kept_sig")), ["bucket", "key"])
+    inner = everyone.join(won, "id", "left_anti").filter("later").join(own.select("key", F.col("id").alias("kept_id"), F.col("ord").alias("kept_ord"), F.col("sig").alias("kept_sig")), "key")
     repeats.append(inner.filter((F.col("kept_ord") < F.col("ord")) & _verified(agree)).select("id", "kept_id").distinct())
-    own.drop("ord").repartition("bucket").write.mode("overwrite" if first else "append").partitionBy("bucket").parquet(index)
-    out = repeats[0]
-    for x in repeats[1:]:
-        out = out.union(x)
-    return won, out
+    index.write(step, own.drop("ord"))
+    return won, reduce(DataFrame.union, repeats)
 
 
 def file_name(c: Column) -> Column:
@@ -132,16 +121,18 @@ def content_digest(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(data(c)), "^sha256:", ""), F.lit(""))
 
 
-def in_steps(all_features: DataFrame, arrival: DataFrame, steps: int, agree: int) -> DataFrame:
-    """Takes records in ``steps`` batches, one after the other in order of arrival, into a new index; returns id, kept_id.
+def in_steps(all_features: DataFrame, arrival: DataFrame, steps: int, agree: int, index: Segments | None = None) -> DataFrame:
+    """Takes records in ``steps`` batches, one after the other in order of arrival, into an index (a new one if none is given);
+    returns id, kept_id.
 
     arrival: the column at of the times at which batches arrived. Its quantiles part the steps, so that each has as many arriving
-    batches; a step only sees its own records and the index that the earlier ones left.
+    batches; a step only sees its own records and what the earlier ones left. Order decides within a step as it does
+    between steps, so the rows are the same for any number of steps.
     """
     spark = all_features.sparkSession
     cuts = arrival.select(F.percentile_approx("at", [i / steps for i in range(1, steps)], 10_000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    index = new_path(spark, "index")
+    index = index or key_index(spark, new_path(spark, "index"))
     out = None
     at = F.col("ord.at")
     for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
@@ -150,7 +141,7 @@ def in_steps(all_features: DataFrame, arrival: DataFrame, steps: int, agree: int
             part = part.filter((at >= F.lit(lo)) | (at.isNull() if hi is None else F.lit(False)))
         if hi is not None:
             part = part.filter(at < F.lit(hi))
-        _, repeats = dedup_batch(part, index, agree, first=i == 0)
+        _, repeats = dedup_batch(part, index, agree, i)
         repeats = written(repeats, "repeats")
         out = repeats if out is None else out.union(repeats)
     return out

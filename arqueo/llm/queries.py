@@ -9,7 +9,7 @@ from arqueo.functions.text import amount, amount_of, composed, data, data_of, id
 from arqueo.functions.times import with_time
 from arqueo.llm import dedup, leakage, lookalike, mixture, pieces, splits, survivor, tokens
 from arqueo.llm.sql import SQL  # noqa: F401
-from arqueo.session import small_side, table, written
+from arqueo.session import new_path, small_side, table, written
 
 # --- 1: splits that keep related records together
 
@@ -26,18 +26,20 @@ def splits_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("file_id").alias("record"), F.when(name == "val", "validation").otherwise(name).alias("split")).filter("split IS NOT NULL AND record IS NOT NULL").distinct()
 
 
-def p1_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The labels' groups and splits, taken in two parts: the files that have a split today, then the others."""
+def p1_store(spark: SparkSession, sf_dir: str) -> splits.Store:
+    """The labels' groups and splits, taken in two steps: the files that have a split today, then the others."""
     labels, today = table(spark, sf_dir, "ocr_labels"), written(splits_today(spark, sf_dir), "today")
     edges = written(splits.edges_of(labels, "file_id", label_keys(labels)), "edges")
     targets = table(spark, sf_dir, "split_targets").select(F.lower(F.trim("split")).alias("split"), "share")
     known = today.select(F.concat(F.lit("r:"), "record").alias("a")).distinct()
-    state, _ = splits.assign_splits(edges.join(known, "a", "left_semi"), targets, today)
-    return splits.assign_splits(edges.join(known, "a", "left_anti"), targets, today, state)
+    store = splits.Store(spark, new_path(spark, "splits"))
+    splits.assign_splits(edges.join(known, "a", "left_semi"), targets, store, today)
+    splits.assign_splits(edges.join(known, "a", "left_anti"), targets, store, today)
+    return store
 
 
 def p1_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_state(spark, sf_dir)[1].select(F.col("record").alias("file_id"), "split", "status")
+    return p1_store(spark, sf_dir).assignment().select(F.col("record").alias("file_id"), "split", "status")
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +52,9 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of the state that assigning the splits returns."""
+    """The groups of the store that assigning the splits fills."""
     today = written(splits_today(spark, sf_dir), "today")
-    nodes = p1_state(spark, sf_dir)[0].members
+    nodes = written(p1_store(spark, sf_dir).components(), "components")
     files = nodes.filter("node LIKE 'r:%'").select(F.substr("node", F.lit(3)).alias("file_id"), "component")
     names = nodes.filter("node LIKE 'supplier:%'").groupBy("component").agg(F.min(F.substr("node", F.lit(10))).alias("group_id"))
     broken = files.join(today.withColumnRenamed("record", "file_id"), "file_id").groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arqueo.llm.components import connected_components
+from arqueo.llm.segments import ROWS, Segments
 from arqueo.session import small_side, written
 
 #: Components of at least this share of the records are assigned one by one; there are at most 1 / LARGE of them.
@@ -26,32 +27,87 @@ def edges_of(records: DataFrame, record: str, keys: dict[str, Column]) -> DataFr
     return records.filter(F.col(record).isNotNull()).select(node.alias("a"), F.explode(F.filter(targets, lambda x: x.isNotNull())).alias("b")).distinct()
 
 
-@dataclass
-class Components:
-    """The persisted state: members has node and component; splits has component, split, size (in records) and status."""
+class Store:
+    """The persisted state in a folder: members (node, component), renames (component, root), splits (component, split, size, status)
+    and totals (split, size), each in segments by step.
 
-    members: DataFrame
-    splits: DataFrame
+    A step adds rows and rewrites none: a node keeps the component that it was first put in, a rename leads from a merged component to the one it
+    went into, and a component's last row of splits holds. totals are differences and are written last: a step without them is
+    not there, so one that failed halfway is as if it had never begun, and one that runs again gives the same.
+    """
 
+    def __init__(self, spark: SparkSession, folder: str, rows: int = ROWS) -> None:
+        self.spark = spark
+        part = lambda name, schema: Segments(spark, f"{folder}/{name}", schema, rows)
+        self.members, self.renames = part("members", "node string, component string"), part("renames", "component string, root string")
+        self.splits, self.totals = part("splits", "component string, split string, size bigint, status string"), part("totals", "split string, size bigint")
 
-def merge_components(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """node and component after edges are added to an existing component table.
+    def next_step(self) -> int:
+        return max([s.last for s in self.totals.segments()], default=-1) + 1
 
-    Only nodes of the new edges are looked up there. Old components enter the search as one node each, so their size doesn't
-    matter; those that the new edges join get the smallest component among them. Without members, all components are new.
-    """
-    if members is None:
-        return connected_components(edges).select("node", F.col("root").alias("component"))
-    members = members.select("node", "component")
-    # An old member stands for its component from here on.
-    a = members.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = members.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    lifted = written(edges.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")), "lifted")
-    roots = written(connected_components(lifted.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    old = members.join(roots.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    seen = lifted.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("at")), F.struct(F.col("b").alias("node"), F.col("y").alias("at")))).alias("n")).select("n.*")
-    new = seen.filter("node = at").distinct().join(members.select("node"), "node", "left_anti").join(roots.select(F.col("node").alias("at"), "root"), "at").select("node", F.col("root").alias("component"))
-    return old.union(new)
+    def roots_of(self, components: DataFrame, before: int) -> DataFrame:
+        """component and root of components (a distinct column component), by following renames; reads those of the components only."""
+        x = written(components.select("component", F.col("component").alias("root"), F.lit(True).alias("moved")), "roots")
+        while True:
+            todo = x.filter("moved").select(F.col("root").alias("component")).distinct().withColumn("hash", F.xxhash64("component"))
+            up = _last(self.renames.read(todo, before), "component", "root").select(F.col("component").alias("root"), F.col("root").alias("above"))
+            x = written(x.join(up, "root", "left").select("component", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+            if x.filter("moved").limit(1).count() == 0:
+                return x.select("component", "root")
+
+    def components(self, step: int | None = None) -> DataFrame:
+        """node and its present component, of all nodes: reads the whole table."""
+        before = self.next_step() if step is None else step + 1
+        m = self.members.read(before=before).select("node", "component")
+        moved = self.renames.read(before=before).select("component").distinct()
+        roots = self.roots_of(moved, before)
+        return m.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+    def assignment(self, step: int | None = None) -> DataFrame:
+        """record, component, split and status (kept, new, quarantined) of all records; new are those of components that the last step added."""
+        step = self.next_step() - 1 if step is None else step
+        last = _last(self.splits.read(before=step + 1), "component", "split", "status")
+        status = F.when((F.col("status") == "new") & (F.col("step") < step), "kept").otherwise(F.col("status"))
+        records = self.components(step).filter(F.col("node").startswith("r:")).select(F.substr("node", F.lit(3)).alias("record"), "component")
+        return records.join(last.select("component", "split", status.alias("status")), "component").select("record", "component", "split", "status")
+
+
+def _last(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The columns of each key's row of the latest step."""
+    return rows.groupBy(key).agg(F.max_by(F.struct("step", *columns), "step").alias("r")).select(key, "r.*")
+
+
+def _hashed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("hash", F.xxhash64(key))
+
+
+@dataclass
+class Merged:
+    """What new edges do to the table: new members, old components with the root they belong to now, and all roots touched."""
+
+    members: DataFrame
+    old: DataFrame
+    roots: DataFrame
+
+
+def merge_components(edges: DataFrame, store: Store, step: int) -> Merged:
+    """Looks up the nodes of the new edges, and no others. Old components enter the search as one node each, so their size doesn't
+    matter; those that the new edges join get the smallest name among them. Nothing is written to the store here."""
+    nodes = written(_hashed(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "nodes")
+    known = written(store.members.read(nodes, before=step).join(nodes.select("node"), "node", "left_semi").select("node", "component"), "known")
+    if known.limit(1).count():
+        present = written(known.join(store.roots_of(known.select("component").distinct(), step), "component").select("node", "root"), "present")
+        a, b = (present.select(F.col("node").alias(k), F.col("root").alias(f"c{k}")) for k in "ab")
+        edges = written(edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct(), "lifted")
+        roots = written(connected_components(edges), "roots")
+        olds = present.select(F.col("root").alias("node")).distinct()
+        old = written(roots.join(olds, "node", "left_semi").select(F.col("node").alias("component"), "root"), "old")
+        # A component is named by one of its nodes, which is no new one.
+        new = roots.join(olds, "node", "left_anti").select("node", F.col("root").alias("component")).join(known.select("node"), "node", "left_anti")
+        return Merged(written(new, "new"), old, roots.select("root").distinct())
+    roots = connected_components(edges)
+    none = store.spark.createDataFrame([], "component string, root string")
+    return Merged(roots.select("node", F.col("root").alias("component")), none, roots.select("root").distinct())
 
 
 def fill_deficits(components: DataFrame, have: DataFrame, targets: DataFrame, large: float = LARGE) -> DataFrame:
@@ -93,33 +149,42 @@ def fill_deficits(components: DataFrame, have: DataFrame, targets: DataFrame, la
     return chosen.union(rest.join(F.broadcast(slots), "slot").select("component", split.alias("split")))
 
 
-def assign_splits(edges: DataFrame, targets: DataFrame, today: DataFrame | None = None, state: Components | None = None) -> tuple[Components, DataFrame]:
-    """Assigns every record of edges (``edges_of``) to a split and returns the new state and one row for each record.
+def assign_splits(edges: DataFrame, targets: DataFrame, store: Store, today: DataFrame | None = None, step: int | None = None) -> DataFrame:
+    """Assigns every record of edges (``edges_of``) to a split, adds that to the store and returns one row for each component that the
+    edges touch: component, split, size (in records) and status (kept, new, quarantined). ``Store.assignment`` has the records.
 
-    today: record, split as found elsewhere; state: what an earlier call returned. Components that have one split in the state,
-    or else, where the state doesn't know them, one split today, keep it. Components that merge several are quarantined: no
+    today: record, split as found elsewhere. Components that have one split in the store,
+    or else, where the store doesn't know them, one split today, keep it. Components that merge several are quarantined: no
     split of theirs can stay, so the whole group gets one anew, which later calls keep, and the status says so. New and newly
-    quarantined components fill the deficits. Splits that targets doesn't name count as none. Result: record, component, split, status (kept, new, quarantined).
+    quarantined components fill the deficits. Splits that targets doesn't name count as none. Of the store, the rows of the edges' own nodes and
+    components are read, and the totals; a call that adds to a large table costs no more than what it touches.
+    step: the number of the call, by default the next; to run one again, its number.
     """
-    members = written(merge_components(edges, state.members if state else None), "members")
-    records = members.filter(F.col("node").startswith("r:")).select(F.substr("node", F.lit(3)).alias("record"), "component")
+    step = store.next_step() if step is None else step
+    merged = merge_components(edges, store, step)
+    old = merged.old
     known = small_side(targets.select("split").distinct())
-    no_votes = members.sparkSession.createDataFrame([], "component string, split string, was boolean")
-    votes, settled = no_votes, None
-    if state:
-        moved = state.members.select("node", F.col("component").alias("old")).join(members, "node").select("old", "component").distinct()
-        before = state.splits.select(F.col("component").alias("old"), "split", (F.col("status") == "quarantined").alias("was"))
-        settled = written(before.join(moved, "old").select("component", "split", "was").distinct(), "settled")
-        votes = settled
+    before = _last(store.splits.read(_hashed(old, "component"), before=step), "component", "split", "size", "status")
+    settled = written(old.join(before, "component").select("component", "root", "split", "size", "status"), "settled")
+    fresh = merged.members.filter(F.col("node").startswith("r:")).select(F.substr("node", F.lit(3)).alias("record"), F.col("component").alias("root"))
+    sizes = fresh.groupBy("root").agg(F.count("*").alias("added"))
+    votes = settled.select("root", "split", (F.col("status") == "quarantined").alias("was"))
     if today is not None:
-        now = today.select("record", "split").join(known, "split", "left_semi").join(records, "record").select("component", "split", F.lit(False).alias("was")).distinct()
-        votes = votes.union(now.join(settled.select("component").distinct(), "component", "left_anti") if settled is not None else now)
-    by = votes.groupBy("component").agg(F.max("split").alias("split"), F.count_distinct("split").alias("n_splits"), F.max("was").alias("was"))
-    sizes = records.groupBy("component").agg(F.count("*").alias("size")).join(by, "component", "left")
+        now = today.select("record", "split").join(known, "split", "left_semi").join(fresh, "record").select("root", "split", F.lit(False).alias("was")).distinct()
+        votes = votes.union(now.join(settled.select("root").distinct(), "root", "left_anti"))
+    by = votes.groupBy("root").agg(F.max("split").alias("split"), F.count_distinct("split").alias("n_splits"), F.max("was").alias("was"))
+    held = settled.groupBy("root").agg(F.sum("size").alias("held"))
     status = F.when((F.col("n_splits") > 1) | F.col("was"), "quarantined").when(F.col("n_splits") == 1, "kept").otherwise("new")
-    sizes = written(sizes.select("component", "size", F.when(F.col("n_splits") == 1, F.col("split")).alias("split"), status.alias("status")), "sizes")
-    new = fill_deficits(sizes.filter("split IS NULL").select("component", "size"), sizes.filter("split IS NOT NULL").select("split", "size"), targets)
-    x = sizes.join(new.withColumnRenamed("split", "filled"), "component", "left")
-    splits = written(x.select("component", F.coalesce("split", "filled").alias("split"), "size", "status"), "splits")
-    result = records.join(splits.drop("size"), "component").select("record", "component", "split", "status")
-    return Components(members, splits), result
+    x = merged.roots.join(sizes, "root", "left").join(held, "root", "left").join(by, "root", "left")
+    size = F.coalesce("added", F.lit(0)) + F.coalesce("held", F.lit(0))
+    x = written(x.select(F.col("root").alias("component"), size.alias("size"), F.when(F.col("n_splits") == 1, F.col("split")).alias("split"), status.alias("status")).filter("size > 0"), "sizes")
+    left = settled.select("split", (-F.col("size")).alias("size"))
+    have = store.totals.read(before=step).select("split", "size").union(left).union(x.filter("split IS NOT NULL").select("split", "size"))
+    new = fill_deficits(x.filter("split IS NULL").select("component", "size"), have, targets)
+    splits = x.join(new.withColumnRenamed("split", "filled"), "component", "left").select("component", F.coalesce("split", "filled").alias("split"), "size", "status")
+    splits = written(_hashed(splits, "component"), "splits")
+    store.members.write(step, written(_hashed(merged.members, "node"), "members"))
+    store.renames.write(step, written(_hashed(old.filter("component <> root"), "component"), "renames"))
+    store.splits.write(step, splits)
+    store.totals.write(step, written(_hashed(splits.select("split", "size").union(left).groupBy("split").agg(F.sum("size").alias("size")), "split"), "totals"))
+    return splits.select("component", "split", "size", "status")

@@ -35,27 +35,61 @@ def split_edges(spark, labels):
     return splits.edges_of(spark.createDataFrame([(*r, "clash") for r in labels], LABELS), "file", {"k": F.col("k"), "j": F.col("j")})
 
 
+def new_store(spark):
+    return splits.Store(spark, new_path(spark, "test"))
+
+
+def assigned(spark, store, labels, targets, today=None, step=None):
+    splits.assign_splits(split_edges(spark, labels), targets, store, today, step)
+    return {r["record"]: (r["split"], r["status"]) for r in store.assignment(step).collect()}
+
+
 def test_splits_are_kept_filled_and_quarantined(spark):
     targets = spark.createDataFrame(TARGETS, "split string, share double")
     first = [("a", "1", None), ("b", "1", None), ("c", "2", None), ("d", None, None), (None, "1", None), ("a", "1", None)]
     today = spark.createDataFrame([("a", "train"), ("c", "test"), ("c", "nonsense")], "record string, split string")
-    state, got = splits.assign_splits(split_edges(spark, first), targets, today)
-    got = {r["record"]: (r["split"], r["status"]) for r in got.collect()}
+    store = new_store(spark)
+    got = assigned(spark, store, first, targets, today)
     assert got["a"] == got["b"] == ("train", "kept") and got["c"] == ("test", "kept") and got["d"] == ("test", "new") and len(got) == 4
     # e joins the groups of a and c, which have different splits; f is new
-    state, got = splits.assign_splits(split_edges(spark, [("e", "1", "9"), ("c", "2", "9"), ("f", None, "8")]), targets, None, state)
-    got = {r["record"]: (r["split"], r["status"]) for r in got.collect()}
+    second = [("e", "1", "9"), ("c", "2", "9"), ("f", None, "8")]
+    got = assigned(spark, store, second, targets)
     assert len({got[x][0] for x in "abce"}) == 1 and {got[x][1] for x in "abce"} == {"quarantined"} and got["f"][1] == "new" and got["d"] == ("test", "kept")
+    assert {r["split"]: r["n"] for r in store.totals.read().groupBy("split").agg(F.sum("size").alias("n")).collect() if r["n"]} == {s: sum(v[0] == s for v in got.values()) for s in {v[0] for v in got.values()}}
+    # a step that runs again changes nothing
+    assert assigned(spark, store, second, targets, step=1) == got and store.next_step() == 2
     # and keep their one split from then on
-    _, again = splits.assign_splits(split_edges(spark, [("g", "1", None)]), targets, None, state)
-    again = {r["record"]: (r["split"], r["status"]) for r in again.collect()}
-    assert again["g"] == again["a"] == (got["a"][0], "quarantined")
+    again = assigned(spark, store, [("g", "1", None)], targets)
+    assert again["g"] == again["a"] == (got["a"][0], "quarantined") and len(again) == 7
+
+
+def test_chains_of_merges(spark):
+    targets = spark.createDataFrame(TARGETS, "split string, share double")
+    store = new_store(spark)
+    assigned(spark, store, [(f"f{i}", f"k{i}", None) for i in range(8)], targets)
+    for step in (4, 2, 1):  # each step joins pairs of what the one before left
+        assigned(spark, store, [(f"f{i}", None, f"j{i // (8 // step)}") for i in range(0, 8, 4 // step)], targets)
+    nodes = {r["node"]: r["component"] for r in store.components().collect()}
+    assert len({nodes[f"r:f{i}"] for i in range(8)}) == 1 and len({r[0] for r in store.assignment().select("split").collect()}) == 1
+
+
+def test_a_small_step_reads_what_it_touches(spark, monkeypatch):
+    targets = spark.createDataFrame(TARGETS, "split string, share double")
+    store = splits.Store(spark, new_path(spark, "test"), rows=50)
+    splits.assign_splits(split_edges(spark, [(f"f{i}", f"k{i // 2}", None) for i in range(2000)]), targets, store)
+    seen, read = [], splits.Segments.read
+    monkeypatch.setattr(splits.Segments, "read", lambda self, *a, **k: seen.append((self.folder.rsplit("/", 1)[1], read(self, *a, **k))) or seen[-1][1])
+    got = splits.assign_splits(split_edges(spark, [("new", "k7", None)]), targets, store).collect()
+    n = {name: x.count() for name, x in seen}
+    assert n["members"] < 300 and n["splits"] < 150 and n["totals"] == 2 and [(r["size"], r["status"]) for r in got] == [(3, "kept")]
 
 
 def test_shares_with_one_large_group(spark):
     labels = [(f"f{i}", "hot" if i < 400 else f"k{i // 3}", None) for i in range(1200)]
     targets = spark.createDataFrame([("train", 0.6), ("validation", 0.2), ("test", 0.2)], "split string, share double")
-    _, got = splits.assign_splits(split_edges(spark, labels), targets)
+    store = new_store(spark)
+    splits.assign_splits(split_edges(spark, labels), targets, store)
+    got = store.assignment()
     n = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
     assert abs(n["train"] - 720) < 15 and abs(n["validation"] - 240) < 15 and abs(n["test"] - 240) < 15
     assert got.groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
@@ -63,7 +97,8 @@ def test_shares_with_one_large_group(spark):
 
 def test_splits_of_nothing(spark):
     targets = spark.createDataFrame(TARGETS, "split string, share double")
-    assert splits.assign_splits(split_edges(spark, []), targets)[1].count() == 0
+    store = new_store(spark)
+    assert assigned(spark, store, [], targets) == {}
     with pytest.raises(ValueError, match="share"):
         splits.fill_deficits(spark.createDataFrame([], "component string, size long"), spark.createDataFrame([], "split string, size long"), targets.limit(0))
 
@@ -86,23 +121,48 @@ def test_dedup_in_order_of_arrival(spark):
         ("i", 4, None, None, False, None, "y", "x"), ("j", 9, None, None, None, None, None, None), (None, 1, "s1", None, False, None, None, None),
     ]
     want = [("b", "a"), ("c", "a"), ("e", "a"), ("h", "a"), ("h", "g"), ("i", "d")]
-    index = new_path(spark, "test")
-    won, repeats = dedup.dedup_batch(dedup_features(spark, docs), index, 2, first=True)
+    fresh = lambda: dedup.key_index(spark, new_path(spark, "test"))
+    won, repeats = dedup.dedup_batch(dedup_features(spark, docs), fresh(), 2, 0)
     assert rows(repeats) == want and sorted(r[0] for r in won.collect()) == ["a", "d", "g", "j"]
     # the same, one by one
-    index, got = new_path(spark, "test"), []
+    index, got = fresh(), []
     for i, part in enumerate([docs[:2], docs[2:4], docs[7:8], docs[4:7]]):
-        got += rows(dedup.dedup_batch(dedup_features(spark, part), index, 2, first=i == 0)[1])
+        got += rows(dedup.dedup_batch(dedup_features(spark, part), index, 2, i)[1])
     assert sorted(got) == want
-    empty = dedup.dedup_batch(dedup_features(spark, []), index, 2)
+    empty = dedup.dedup_batch(dedup_features(spark, []), index, 2, 4)
     assert empty[0].count() == empty[1].count() == 0
 
 
+def test_a_batch_that_runs_again_gives_the_same(spark):
+    docs = [("a", 1, "s1", "f", False, "1", "2", "3"), ("b", 2, "s1", None, False, None, None, None), ("c", 3, "s2", "f", True, None, None, None), ("d", 4, "s3", None, False, "1", "2", "9")]
+    index = dedup.key_index(spark, new_path(spark, "test"))
+    run = lambda part, step: [rows(x) for x in dedup.dedup_batch(dedup_features(spark, part), index, 2, step)]
+    first, second = run(docs[:2], 0), run(docs[2:], 1)
+    assert second == [[], [("c", "a"), ("d", "a")]] and first == [[("a",)], [("b", "a")]]
+    assert run(docs[:2], 0) == first and run(docs[2:], 1) == second
+    assert [(s.first, s.last) for s in index.segments()] == [(0, 0), (1, 1)]
+    index.merge = 2
+    index.write(2, index.read().limit(0))
+    assert [(s.first, s.last) for s in index.segments()] == [(0, 2)]
+    assert run(docs[:2], 0) == first and run(docs[2:], 1) == second and run(docs, 3) == [[], [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a")]]
+
+
+def test_a_small_batch_reads_a_small_part_of_the_index(spark):
+    index = dedup.key_index(spark, new_path(spark, "test"))
+    index.rows = 100
+    many = [(f"x{i:05}", i, f"s{i}", None, False, None, None, None) for i in range(20_000)]
+    dedup.dedup_batch(dedup_features(spark, many), index, 2, 0)
+    few = dedup_features(spark, [("y1", 1, "s7", None, False, None, None, None), ("y2", 2, "new", None, False, None, None, None)])
+    probe = index.read(few.select(F.explode("keys.key").alias("key")).select(F.xxhash64("key").alias("hash")), before=1)
+    assert len(index.buckets(index.segments()[0])) == 256 and len(probe.inputFiles()) <= 2 and probe.count() < 400
+    assert rows(dedup.dedup_batch(few, index, 2, 1)[1]) == [("y1", "x00007")]
+
+
 def test_dedup_hot_group_and_chain(spark):
     docs = [(f"h{i:03}", i, "hot", None, False, None, None, None) for i in range(300)]
     # each shares two readings with the next only: every second is accepted
     docs += [(f"z{i:03}", 1000 + i, None, None, False, f"a{i // 2}", f"b{(i + 1) // 2}", "c") for i in range(20)]
-    won, repeats = dedup.dedup_batch(dedup_features(spark, docs), new_path(spark, "test"), 2, first=True)
+    won, repeats = dedup.dedup_batch(dedup_features(spark, docs), dedup.key_index(spark, new_path(spark, "test")), 2, 0)
     assert rows(repeats)[:299] == [(f"h{i:03}", "h000") for i in range(1, 300)]
     assert [r for r in sorted(x[0] for x in won.collect()) if r[0] == "z"] == [f"z{i:03}" for i in range(0, 20, 2)]
 

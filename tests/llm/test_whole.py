@@ -33,10 +33,10 @@ def test_undated_rows_against_dated_ones(spark):
 
 def test_groups_come_from_the_assignment(spark, sf, monkeypatch):
     calls, assign = [], splits.assign_splits
-    monkeypatch.setattr(splits, "assign_splits", lambda *a: calls.append(assign(*a)) or calls[-1])
+    monkeypatch.setattr(splits, "assign_splits", lambda *a: calls.append(a[2]) or assign(*a))
     found = entry.queries()["p1_found"](spark, sf)
     assert len(calls) == 2
-    status = calls[-1][1].select(F.col("record").alias("file_id"), "split", "status")
+    status = calls[-1].assignment().select(F.col("record").alias("file_id"), "split", "status")
     assert found.count() > 0 and found.join(status.filter("split IS NOT NULL AND status = 'quarantined'"), "file_id", "left_anti").count() == 0
 
 
