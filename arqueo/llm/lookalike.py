@@ -11,24 +11,52 @@ from pyspark.sql.window import Window
 
 from arqueo.session import written
 
-# Letters of other scripts that have the shape of a Latin letter, Cyrillic and Greek first, and that letter.
-SHAPES = {
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I",
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "х": "x", "у": "y", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "α": "a", "υ": "u", "ϲ": "c", "ϳ": "j",
-    "Տ": "S", "Օ": "O", "օ": "o", "հ": "h", "ո": "n", "ս": "u",
-}
+#: Code points from the first to the last that can have a decomposition or a look-alike, or be invisible.
+FIRST, LAST = 0x80, 0xE0200
 
 
 @cache
-def mapping() -> list[tuple[int, int, int, str]]:
+def _shapes(spark: SparkSession) -> dict[str, str]:
+    """Letters that have the shape of an ASCII letter, and that letter: by rule from the confusables table of Unicode Technical Standard 39.
+
+    The ICU library that Spark ships holds that table and gives the prototype of each character; one call asks for all letters.
+    A letter of another script than Latin (or a Latin one in script style) goes to the ASCII letter of the same prototype
+    and letter case, or of the prototype's own case if it has none. Letters that run from right to left, modifiers, Hangul letters,
+    which compose to syllables, and letters of which only another case looks alike stay.
+    """
+    of = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+    ascii_letters = [chr(i) for i in range(0x41, 0x7B) if chr(i).isalpha()]
+    by_prototype: dict[str, list[str]] = {}
+    for c, p in zip(ascii_letters, of("\n".join(ascii_letters)).split("\n"), strict=True):
+        by_prototype.setdefault(p, []).append(c)
+    others = []
+    for i in range(FIRST, 0x20000):
+        c = chr(i)
+        name = unicodedata.name(c, "")
+        if unicodedata.category(c) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(c) and not name.startswith(("CJK", "HANGUL")) and unicodedata.bidirectional(c) == "L":
+            if not name.startswith("LATIN") or " SCRIPT " in name:
+                others.append(c)
+    out = {"Ԛ": "Q"}  # whose small form alone is in the table
+    for c, p in zip(others, of("\n".join(others)).split("\n"), strict=True):
+        like = by_prototype.get(p, [])
+        if unicodedata.category(c) == "Lo":
+            like = [x for x in like if x == p] or like
+        else:
+            like = [x for x in like if x.isupper() == c.isupper()]
+        if like:
+            out[c] = like[0]
+    return out
+
+
+@cache
+def mapping(spark: SparkSession) -> list[tuple[int, int, int, str]]:
     """(code point, place in its decomposition, combining class, character) of every code point that isn't itself.
 
-    Made by rule from the Unicode data: canonical decompositions, full- and half-width and no-break forms, spaces and dashes of
-    all kinds, look-alike letters; invisible characters decompose into nothing (an empty string). Superscripts, ligatures and other
+    Made by rule from the Unicode data: canonical decompositions, full- and half-width, font and no-break forms, Roman numerals, spaces and
+    dashes of all kinds, look-alike letters; invisible characters decompose into nothing (an empty string). Superscripts, ligatures and other
     compatibility forms look different and stay. Hangul is composed by rule elsewhere. Some thousand rows, as many as Unicode has.
     """
+    shapes = _shapes(spark)
     spaces = {i for i in range(0x3100) if unicodedata.category(chr(i)) == "Zs" or chr(i) in "\t\x0b\x0c\x85"} | {0x2800}
     dashes = {0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2043, 0x2212, 0x02D7, 0xFE58, 0xFE63, 0xFF0D, 0x2796}
     fillers = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
@@ -41,17 +69,17 @@ def mapping() -> list[tuple[int, int, int, str]]:
             return " "
         if i in dashes:
             return "-"
-        if ch in SHAPES:
-            return SHAPES[ch]
+        if ch in shapes:
+            return shapes[ch]
         d = unicodedata.decomposition(ch)
-        if d.startswith(("<wide>", "<narrow>", "<noBreak>")):
+        if d.startswith(("<wide>", "<narrow>", "<noBreak>", "<font>")) or d.startswith("<compat>") and unicodedata.category(ch) == "Nl":
             return "".join(expand(chr(int(x, 16))) for x in d.split()[1:])
         if d and not d.startswith("<"):
             return "".join(expand(chr(int(x, 16))) for x in d.split())
         return ch
 
     out = []
-    for i in range(0x80, 0xE0200):
+    for i in range(FIRST, LAST):
         if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4:
             continue
         e = expand(chr(i))
@@ -89,7 +117,7 @@ def canonical(spark: SparkSession, texts: DataFrame, column: str) -> DataFrame:
     all that follows keeps that partitioning; a text of any length is rebuilt by one task. Null is no text and gives no row; the empty text is its own canon, as is text
     of invisible characters only. Letter case, missing accents, the number of blanks and digits for letters stay different.
     """
-    table = F.broadcast(spark.createDataFrame(mapping(), "cp int, j int, ccc int, ch string"))
+    table = F.broadcast(spark.createDataFrame(mapping(spark), "cp int, j int, ccc int, ch string"))
     x = texts.select(F.unhex(F.md5(F.col(column))).alias("key"), F.col(column).alias("text")).filter(F.col("text").isNotNull())
     x = x.groupBy("key").agg(F.first("text").alias("text"))
     # Splitting at every place keeps surrogate pairs together. Plain text stays one piece. The key stands for the text, of which

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from arqueo.functions.text import NARROW, WIDE
-from arqueo.llm.lookalike import SHAPES
-
-_NARROW = NARROW.replace("'", "''")
+# Letters of other scripts in these tables, and the Latin letters of their shape.
+_OTHER = "АВСЕНІЈКМОРЅТХУасеһіјорѕхуΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρια"
+_LATIN = "ABCEHIJKMOPSTXYacehijopsxyABEZHIKMNOPTYXovpia"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 
 
 def _canon(c: str) -> str:
     blanks = rf"regexp_replace(regexp_replace({c}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}]', '', 'g'), '[\p{{Zs}}\t]', ' ', 'g')"
-    shapes = f"translate({blanks}, '{''.join(SHAPES)}{WIDE}', '{''.join(SHAPES.values())}{_NARROW}')"
+    shapes = f"translate({blanks}, '{_OTHER}{_WIDE}', '{_LATIN}{_NARROW}')"
     return rf"nfc_normalize(regexp_replace({shapes}, '[\x{{2010}}-\x{{2015}}\x{{2212}}\x{{2043}}\x{{02D7}}]', '-', 'g'))"
 
 
 def _grams(table: str, key: str) -> str:
-    words = rf"list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(translate(text, '{WIDE}', '{_NARROW}'))), '[\p{{Cf}}\p{{M}}]+', '', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    words = rf"list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(translate(text, '{_WIDE}', '{_NARROW}'))), '[\p{{Cf}}\p{{M}}]+', '', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL)"
 
 

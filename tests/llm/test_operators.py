@@ -222,6 +222,14 @@ def test_canonical(spark):
     assert len(set(canon(spark, different).values())) == len(different)
 
 
+def test_letters_of_other_scripts(spark):
+    pairs = "АA ВB СC ЕE НH ІI ЈJ КK МM ОO РP ЅS ТT ХX ҮY ԚQ ԜW ԌG аa сc ԁd еe һh іi јj оo рp ѕs хx уy ԛq ԝw ѵv ѴV ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp ᎪA ꓐB ɡg ⅠI ⅼl 𝙰A 𝐀A օo հh ոn սu ՕO".split()
+    got = canon(spark, [p[0] for p in pairs])
+    assert [p for p in pairs if got[p[0]] != p[1]] == []
+    stay = "ßжøıſçñدא가ﬁ²ªºÆ"
+    assert [c for c in stay if canon(spark, [c])[c] != c] == []
+
+
 def test_canonical_agrees_with_unicode_and_holds_long_text(spark):
     rng = random.Random(2)
     pool = "abcȩ̣́́̈ñŐ가힣A"
