@@ -304,6 +304,20 @@ def test_mixture(spark):
     assert mixture.mixed(df.limit(0), "id", targets)[0].count() == 0
 
 
+def test_gaps_close_until_no_copy_helps(spark):
+    rng = random.Random(5)
+    docs = [(i, s, rng.choice([3, 7, 50, 120, 121, 400]), g, 3, rng.randint(0, 3)) for s, g in (("a", 20_011.0), ("b", 19_000.5), ("c", 60.0)) for i in range(ord(s) * 1000, ord(s) * 1000 + 60)]
+    df = spark.createDataFrame(docs, "id long, source string, n_tokens int, goal_tokens double, max_repeats int, repeats int")
+    for ladder in (mixture.LADDER, 10**12, 50):
+        got = mixture.closed(df, "id", ladder).collect()
+        assert len(got) == len(docs) and all(0 <= r["repeats"] <= 3 for r in got)
+        for s in "abc":
+            own = [r for r in got if r["source"] == s]
+            gap = own[0]["goal_tokens"] - sum(r["n_tokens"] * r["repeats"] for r in own)
+            assert not [r for r in own if gap > 0 and r["repeats"] < 3 and abs(gap - r["n_tokens"]) < gap or gap < 0 and r["repeats"] > 0 and abs(gap + r["n_tokens"]) < -gap]
+    assert mixture.closed(df.limit(0), "id").count() == 0
+
+
 # --- pieces
 
 

@@ -14,7 +14,7 @@ def test_mix_meets_the_shares(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     report = entry.queries()["p8_shares"](spark, sf)
     assert report.filter("exhausted AND NOT absent").count() == 0
-    assert missed(report) < missed(entry.queries()["p8_shares_sized"](spark, sf))
+    assert missed(report) < 0.0201 < missed(entry.queries()["p8_shares_sized"](spark, sf))  # of which 0.02 are the absent source's
     docs = {r["source"]: r["count"] for r in entry.queries()["p8_mix"](spark, sf).groupBy("source").count().collect()}
     assert docs == {r["source"]: r["n_docs"] for r in report.collect() if r["n_docs"]}
 
