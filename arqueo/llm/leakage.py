@@ -4,48 +4,71 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from arqueo.session import written
 
 #: Every how many places of the text the index keeps a suffix position.
 SAMPLE = 16
 #: Words after which a shard is closed.
 SHARD_WORDS = 1_000_000
-#: Most words of evaluation texts that one pass takes; more items are searched in blocks.
-BLOCK_WORDS = 2_000_000
+#: Phrases that a search of all shards takes at a time.
+BLOCK_PHRASES = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+@cache
+def _dropped() -> dict[int, None]:
+    """Marks and invisible characters, for str.translate."""
+    return {i: None for i in range(0x110000) if unicodedata.combining(chr(i)) or unicodedata.category(chr(i)) in ("Cf", "Mn")}
+
+
 def words(text: str | None) -> list[str]:
     """The runs of letters or digits, without letter case, accents, full-width forms and invisible characters."""
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) not in ("Cf", "Mn"))
-        text = text.casefold()
-        return _WORD.findall(text)
+        return _WORD.findall(unicodedata.normalize("NFKD", text).translate(_dropped()).casefold())
     return _WORD.findall(text.lower())
 
 
+def word_hashes(ws: list[str]) -> np.ndarray:
+    """64 bits for each word, by which all shards and phrases know it."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64).view(np.int64)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """By prefix doubling."""
+    """By prefix doubling; a round only sorts the suffixes that are still tied. s ends with a symbol smaller than all others."""
     n = len(s)
-    rank = s.astype(np.int64)
-    k = 1
+    bits = max(1, int(s.max()).bit_length())
+    k = min(n, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: n - j] |= s[j:]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + int(s.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank = new
-        if rank[order[-1]] == n - 1 or k >= n:
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(tied):
             return order
+        p = order[tied]
+        after = np.where(p + k < n, rank[np.minimum(p + k, n - 1)], -1)
+        o = np.lexsort((after, rank[p]))
+        p, a, b = p[o], rank[p][o], after[o]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        order[tied], head[tied] = p, new
+        rank[p] = np.maximum.accumulate(np.where(new, tied, 0))
         k *= 2
 
 
@@ -72,17 +95,33 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Of a sequence of symbols from 1 on, which this class ends with a 0."""
-
-    def __init__(self, s: np.ndarray, alphabet: int) -> None:
-        s = np.concatenate((s, [0])).astype(np.int64)
-        sa = suffix_array(s)
-        self.bwt = s[sa - 1]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=alphabet + 1))))
-        self.tree = WaveletMatrix(self.bwt, max(1, int(alphabet).bit_length()))
-        self.sampled = sa % SAMPLE == 0
-        self.place = np.cumsum(self.sampled) - 1
-        self.positions = sa[self.sampled]
+    """Of a sequence of symbols from 1 on, which this class ends with a 0; or of what ``dump`` kept of one."""
+
+    def __init__(self, s: np.ndarray | None, alphabet: int, kept: tuple[bytes, bytes, bytes] | None = None) -> None:
+        if s is not None:
+            s = np.concatenate((s, [0])).astype(np.int64)
+            sa = suffix_array(s)
+            self.bwt = s[sa - 1]
+            self.sampled = sa % SAMPLE == 0
+            self.positions = sa[self.sampled]
+        else:
+            self.bwt, self.positions = (np.frombuffer(x, np.int32).astype(np.int64) for x in kept[:2])
+            self.sampled = np.unpackbits(np.frombuffer(kept[2], np.uint8), count=len(self.bwt)).astype(bool)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.bwt, minlength=alphabet + 1))))
+        self.alphabet = alphabet
+
+    def __getattr__(self, name: str):
+        # What only searches need.
+        if name == "tree":
+            self.tree = WaveletMatrix(self.bwt, max(1, int(self.alphabet).bit_length()))
+            return self.tree
+        if name == "place":
+            self.place = np.cumsum(self.sampled) - 1
+            return self.place
+        raise AttributeError(name)
+
+    def dump(self) -> tuple[bytes, bytes, bytes]:
+        return self.bwt.astype(np.int32).tobytes(), self.positions.astype(np.int32).tobytes(), np.packbits(self.sampled).tobytes()
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The range of suffixes that begin with each phrase (a row of phrases), for all phrases at a time, from their ends."""
@@ -113,90 +152,120 @@ class FMIndex:
         return out
 
 
-def _blocks(items: list[tuple[int, str]], n: int) -> Iterator[tuple[dict[str, int], np.ndarray, list[list[int]]]]:
-    """Vocabulary, distinct phrases of n words and their items, for blocks of items."""
-    i = 0
-    while i < len(items):
-        vocabulary: dict[str, int] = {}
-        phrases: dict[tuple[int, ...], set[int]] = {}
-        size = 0
-        while i < len(items) and (size == 0 or size + len(items[i][1]) // 2 <= BLOCK_WORDS):
-            ws = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words(items[i][1])]
-            size += len(ws)
-            for k in range(len(ws) - n + 1):
-                phrases.setdefault(tuple(ws[k : k + n]), set()).add(items[i][0])
-            i += 1
-        if phrases:
-            yield vocabulary, np.array(list(phrases), np.int64), [sorted(x) for x in phrases.values()]
-
+def shard_index(corpus: DataFrame, doc_id: str, text: str, n_words: int) -> DataFrame:
+    """The FM-indexes of a corpus, one row for each shard of about SHARD_WORDS words: ids and starts of its documents, its vocabulary
+    (hashes of words in order, whose places are the symbols) and the index. Documents of fewer than n_words words are left out.
 
-def leaked_spans(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n_words: int = 12) -> DataFrame:
-    """The stretches of corpus texts that share ``n_words`` consecutive words with evaluation texts.
-
-    items is the held-out set: it is read by the driver, which sends it with the tasks in blocks of BLOCK_WORDS words, so its size is
-    bounded there; the corpus is never shuffled. Each task gathers documents into shards of SHARD_WORDS words and builds an FM-index of
-    each. Its alphabet are the block's words; a run of other words, which no phrase can contain, is one separator, as is
-    the end of a document. All phrases are searched backward at a time, occurrences located, and overlapping or adjoining ones of
-    one item merged. A text with fewer words than a phrase holds none; null and empty texts and items give no rows.
-    Result: doc_id, item_id, first_word, last_word (places among the document's words, from 0).
+    It doesn't depend on what is searched for: written once, it serves any number of evaluation sets. The corpus isn't shuffled.
     """
-    known = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).distinct().orderBy(item_id).toLocalIterator()]
-    kinds = corpus.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word int, last_word int"
+    kind = corpus.schema[doc_id].dataType.simpleString()
     docs = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    out = None
-    for vocabulary, phrases, owners in _blocks(known, n_words):
-        found = docs.mapInPandas(_searcher(vocabulary, phrases, owners, n_words), schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else corpus.sparkSession.createDataFrame([], schema)
 
-
-def _searcher(vocabulary, phrases, owners, n):
-    def shard(ids: list, seqs: list[np.ndarray], places: list[np.ndarray]):
+    def shard(ids: list, seqs: list, vocabulary: dict[str, int]):
         import pandas as pd
 
-        rows: list[tuple] = []
-        if seqs:
-            s, where = np.concatenate(seqs), np.concatenate(places)
-            owner = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
-            index = FMIndex(s, len(vocabulary) + 2)
-            lo, hi = index.search(phrases)
-            hit = np.flatnonzero(hi > lo)
-            if len(hit):
-                which = np.repeat(hit, hi[hit] - lo[hit])
-                suffix = np.concatenate([np.arange(lo[k], hi[k]) for k in hit])
-                at = index.locate(suffix)
-                spans: dict[tuple[int, object], list[int]] = {}
-                for k, p in zip(which.tolist(), at.tolist(), strict=True):
-                    for item in owners[k]:
-                        spans.setdefault((int(owner[p]), item), []).append(int(where[p]))
-                for (d, item), starts in spans.items():
-                    starts.sort()
-                    a = b = starts[0]
-                    for x in starts[1:]:
-                        if x > b + n:
-                            rows.append((ids[d], item, a, b + n - 1))
-                            a = x
-                        b = x
-                    rows.append((ids[d], item, a, b + n - 1))
-        return pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word"])
+        hashes = word_hashes(list(vocabulary))
+        order = np.argsort(hashes)
+        symbol = np.empty(len(order), np.int64)
+        symbol[order] = np.arange(len(order)) + 2
+        symbol = np.append(symbol, 1)  # a separator ends each document
+        starts = np.cumsum([0, *map(len, seqs)])
+        index = FMIndex(symbol[np.concatenate(seqs)], len(order) + 1)
+        return pd.DataFrame([(ids, starts.astype(np.int32).tobytes(), hashes[order].tobytes(), *index.dump())], columns=["ids", "starts", "vocabulary", "bwt", "positions", "sampled"])
 
     def run(batches):
-        ids, seqs, places, size = [], [], [], 0
+        ids, seqs, vocabulary, size = [], [], {}, 0
         for batch in batches:
             for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                s = np.fromiter((vocabulary.get(w, 1) for w in words(t)), np.int64)
-                if len(s) < n:
+                ws = words(t)
+                if len(ws) < n_words:
                     continue
-                # Of a run of other words only the first stays; a separator ends the document.
-                keep = np.flatnonzero((s != 1) | (np.concatenate(([0], s[:-1])) != 1))
+                seqs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws] + [-1], np.int64))
                 ids.append(i)
-                seqs.append(np.append(s[keep], 1))
-                places.append(np.append(keep, len(s)))
-                size += len(keep) + 1
+                size += len(ws) + 1
                 if size >= SHARD_WORDS:
-                    yield shard(ids, seqs, places)
-                    ids, seqs, places, size = [], [], [], 0
-        yield shard(ids, seqs, places)
+                    yield shard(ids, seqs, vocabulary)
+                    ids, seqs, vocabulary, size = [], [], {}, 0
+        if ids:
+            yield shard(ids, seqs, vocabulary)
+
+    return docs.mapInPandas(run, f"ids array<{kind}>, starts binary, vocabulary binary, bwt binary, positions binary, sampled binary")
+
+
+def phrases_of(items: DataFrame, item_id: str, text: str, n_words: int) -> DataFrame:
+    """item_id, phrase (the hashes of n_words consecutive words) and key of every phrase of the items."""
+    kind = items.schema[item_id].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            ids, out = [], []
+            for i, t in zip(batch["item_id"], batch["text"], strict=True):
+                h = word_hashes(words(t))
+                if len(h) >= n_words:
+                    windows = np.unique(np.lib.stride_tricks.sliding_window_view(h, n_words), axis=0)
+                    ids += [i] * len(windows)
+                    out += list(windows)
+            if ids:
+                yield pd.DataFrame({"item_id": ids, "phrase": out})
+
+    x = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    return x.mapInPandas(run, f"item_id {kind}, phrase array<bigint>").distinct().withColumn("key", F.xxhash64("phrase"))
+
+
+def leaked_spans(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n_words: int = 12) -> DataFrame:
+    """The stretches of corpus texts that share ``n_words`` consecutive words with evaluation texts.
+
+    Each task gathers documents into shards and writes an FM-index of each (``shard_index``). The items' phrases are a table as
+    well; they go to the shards in blocks of about BLOCK_PHRASES, one row that is broadcast, and each block reads the written indexes again, but no text.
+    All phrases of a block are searched backward at a time through the wavelet matrix; those with a word that a shard lacks drop out at once.
+    Occurrences are located from sampled suffix positions, joined with the items of their phrases, and overlapping or adjoining ones of
+    one item merged. A text with fewer words than a phrase holds none; null and empty texts and items give no rows. Words and
+    phrases count as equal if their 64-bit hashes are. Result: doc_id, item_id, first_word, last_word (places among the document's words, from 0).
+    """
+    kind = corpus.schema[doc_id].dataType.simpleString()
+    owners = written(phrases_of(items, item_id, item_text, n_words), "phrases")
+    distinct = owners.select("phrase", "key").distinct()
+    n_blocks = -(-distinct.count() // BLOCK_PHRASES)
+    index = written(shard_index(corpus, doc_id, text, n_words), "shards") if n_blocks else None
+    blocks = distinct.groupBy(F.pmod("key", F.lit(max(1, n_blocks))).alias("block")).agg(F.flatten(F.collect_list("phrase")).alias("phrases"), F.collect_list("key").alias("keys"))
+    blocks = written(blocks, "blocks") if n_blocks else None
+    schema = f"doc_id {kind}, key bigint, place int"
+    found = corpus.sparkSession.createDataFrame([], schema)
+    for b in range(n_blocks):
+        # One row of at most about BLOCK_PHRASES phrases.
+        both = index.crossJoin(F.broadcast(blocks.filter(F.col("block") == b).drop("block")))
+        found = found.union(both.mapInPandas(_search(n_words), schema))
+    hits = found.distinct().join(owners.select("item_id", "key"), "key").select("doc_id", "item_id", "place").distinct()
+    w = Window.partitionBy("doc_id", "item_id").orderBy("place")
+    new = F.coalesce(F.col("place") > F.lag("place").over(w) + n_words, F.lit(True))
+    runs = hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
+    spans = runs.groupBy("doc_id", "item_id", "run").agg(F.min("place").alias("first_word"), (F.max("place") + (n_words - 1)).alias("last_word"))
+    return spans.drop("run")
+
+
+def _search(n: int):
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                vocabulary = np.frombuffer(r.vocabulary, np.int64)
+                phrases = np.asarray(r.phrases, np.int64).reshape(-1, n)
+                symbols = np.minimum(np.searchsorted(vocabulary, phrases), len(vocabulary) - 1)
+                whole = np.flatnonzero((vocabulary[symbols] == phrases).all(axis=1))
+                if not len(whole):
+                    continue
+                index = FMIndex(None, len(vocabulary) + 1, (r.bwt, r.positions, r.sampled))
+                lo, hi = index.search(symbols[whole] + 2)
+                hit = np.flatnonzero(hi > lo)
+                if not len(hit):
+                    continue
+                which = np.repeat(hit, hi[hit] - lo[hit])
+                at = index.locate(np.concatenate([np.arange(lo[k], hi[k]) for k in hit]))
+                starts = np.frombuffer(r.starts, np.int32)
+                doc = np.searchsorted(starts, at, "right") - 1
+                yield pd.DataFrame({"doc_id": np.asarray(r.ids, object)[doc], "key": np.asarray(r.keys, np.int64)[whole[which]], "place": (at - starts[doc]).astype(np.int32)})
 
     return run

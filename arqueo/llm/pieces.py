@@ -40,6 +40,16 @@ class _Text:
     def own_tokens(self, a: int, b: int) -> int:
         return len(self.enc.encode_ordinary(self.raw[a:b].decode("utf-8")))
 
+    def whole(self, at: int) -> int:
+        """The start of the character that a place lies in."""
+        while at > 0 and at < len(self.raw) and self.raw[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    def characters(self) -> np.ndarray:
+        """How many characters begin before each byte."""
+        return np.concatenate(([0], np.cumsum(np.frombuffer(self.raw, np.uint8) & 0xC0 != 0x80)))
+
     def cuts(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of all boundaries and their strengths."""
         if self._cuts is None:
@@ -86,31 +96,35 @@ def bisected(t: _Text, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def overlap_start(t: _Text, a: int, overlap: int) -> int:
+    """Where the last ``overlap`` tokens of the text before a begin, counted as that stretch is encoded by itself.
+
+    Tokens may merge otherwise at its ends. Then the places between the tokens around are tried, too, character by character; if none gives
+    just so many tokens, the next longer stretch is taken. All of the text, if it has fewer tokens.
+    """
+    k = int(np.searchsorted(t.ends, a, "right")) - overlap
+    place = lambda k: t.whole(int(t.ends[k - 1])) if k > 0 else 0
+    while k > 0 and t.own_tokens(place(k), a) < overlap:
+        k -= 1
+    while k < len(t.ends) and place(k + 1) < a and t.own_tokens(place(k + 1), a) >= overlap:
+        k += 1
+    start = place(k)
+    if k > 0 and t.own_tokens(start, a) > overlap:
+        for at in range(start + 1, place(k + 1)):
+            if t.raw[at] & 0xC0 != 0x80 and t.own_tokens(at, a) == overlap:
+                return at
+    return start
+
+
 def overlapped(t: _Text, parts: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """Each part with the last ``overlap`` tokens of the text before it: start of the piece, start of the part, end.
 
-    The overlap begins where a token begins, at a whole character. If the piece would exceed the limit because tokens merge
-    otherwise at the seam, the part is cut once more.
+    If the piece would exceed the limit because tokens merge otherwise at the seam, the part is cut once more.
     """
     out, todo = [], list(reversed(parts))
     while todo:
         a, b = todo.pop()
-        start = a
-        if a:
-            k = int(np.searchsorted(t.ends, a, "right")) - overlap
-            start = int(t.ends[k - 1]) if k > 0 else 0
-            while start > 0 and t.raw[start] & 0xC0 == 0x80:
-                start -= 1
-            while 0 < start and k > 1 and t.own_tokens(start, a) < overlap:  # tokens may merge otherwise at the seam
-                k -= 1
-                start = int(t.ends[k - 1])
-                while start > 0 and t.raw[start] & 0xC0 == 0x80:
-                    start -= 1
-            while start < a and t.own_tokens(start, a) > overlap:  # a seam inside a token may add one
-                later = t.ends[np.searchsorted(t.ends, start, "right")]
-                start = int(min(later, a))
-                while start < a and t.raw[start] & 0xC0 == 0x80:
-                    start += 1
+        start = overlap_start(t, a, overlap) if a else 0
         if t.own_tokens(start, b) > limit and b - a > 1 and a < (c := t.middle(a, b)) < b:
             todo += [(c, b), (a, c)]
             continue
@@ -147,10 +161,10 @@ def pieces(df: DataFrame, doc_id: str, text: str, limit: int = 2048, overlap: in
                 if len(t) <= limit:
                     continue
                 parts = overlapped(t, bisected(t, limit - overlap), limit, overlap)
-                char = lambda at, raw=t.raw: len(raw[:at].decode("utf-8"))
+                char = t.characters()
                 for n, (start, new, end) in enumerate(parts):
                     body = t.raw[start:end].decode("utf-8")
-                    rows.append((i, n, len(parts), char(start), char(new), char(end), len(enc.encode_ordinary(body)), body))
+                    rows.append((i, n, len(parts), int(char[start]), int(char[new]), int(char[end]), len(enc.encode_ordinary(body)), body))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "n_pieces", "start_char", "new_char", "end_char", "n_tokens", "text"])
 
     return x.mapInPandas(run, f"doc_id {kind}, {SCHEMA}")

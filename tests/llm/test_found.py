@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
+from test_operators import check_overlaps  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from arqueo.plans import problems  # noqa: E402
@@ -45,6 +46,7 @@ def test_pieces(spark, sf):
     for k, ps in got.items():
         ps.sort(key=lambda r: r["piece"])
         assert "".join(p["text"][p["new_char"] - p["start_char"] :] for p in ps) == text[k]
+        check_overlaps(e, text[k], ps, 128)
         assert all(p["n_tokens"] == len(e.encode_ordinary(p["text"])) <= 2048 for p in ps)
     assert {tuple(r) for r in entry.queries()["p9_found"](spark, sf).collect()} == {(k,) for k in got}
 

@@ -277,11 +277,23 @@ def test_leaked_spans(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(leakage, "BLOCK_PHRASES", 1)
+    built, build = [], leakage.shard_index
+    monkeypatch.setattr(leakage, "shard_index", lambda *a: built.append(1) or build(*a))
     a, b = "a b c d", "e f g h"
     corpus = spark.createDataFrame([(1, f"{a} {b}")], "id long, body string")
     items = spark.createDataFrame([("x", a), ("y", b)], "n string, t string")
     assert rows(leakage.leaked_spans(corpus, "id", "body", items, "n", "t", n_words=4)) == [(1, "x", 0, 3), (1, "y", 4, 7)]
+    assert built == [1]
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(6)
+    for n, alphabet in ((1, 1), (2, 1), (200, 1), (500, 2), (900, 70_000)):
+        s = np.append(rng.integers(1, alphabet + 1, n), 0)
+        assert leakage.suffix_array(s).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+    s = np.append(np.tile(rng.integers(1, 9, 300), 3), 0)
+    assert leakage.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
 # --- mixing
@@ -321,6 +333,31 @@ def test_gaps_close_until_no_copy_helps(spark):
 # --- pieces
 
 
+def check_overlaps(e, text, ps, overlap):
+    """Each piece repeats so many tokens, or the fewest above that where no start gives just these."""
+    count = lambda a, b: len(e.encode_ordinary(text[a:b]))
+    for p in ps[1:]:
+        n = count(p["start_char"], p["new_char"])
+        if n != overlap and p["start_char"] > 0:
+            assert n > overlap and all(count(k, p["new_char"]) != overlap for k in range(p["start_char"], p["start_char"] + 40))
+
+
+def test_time_of_pieces_grows_with_the_text():
+    import time
+
+    def seconds(n):
+        text, best = "Una frase con palabras, y otra. " * n, 9.0
+        for _ in range(3):
+            began = time.process_time()
+            t = pieces._Text(text, tokens.encoding())
+            pieces.overlapped(t, pieces.bisected(t, 1920), 2048, 128)
+            t.characters()
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(40_000) < 3 * seconds(20_000)
+
+
 def test_pieces_of_awkward_texts(spark):
     texts = ["", None, "corto", "palabra " * 3000, "x" * 9000, "é" * 6000, "漢字" * 3000, "😀" * 2000, ("Una frase. " * 30 + "\n\n") * 20, "\n" * 9000, "a, b; c! " * 1500]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id int, body string, text string")
@@ -334,6 +371,7 @@ def test_pieces_of_awkward_texts(spark):
         assert "".join(p["text"][p["new_char"] - p["start_char"] :] for p in ps) == texts[i]
         for p in ps:
             assert p["text"] == texts[i][p["start_char"] : p["end_char"]] and len(e.encode_ordinary(p["text"])) == p["n_tokens"] <= 300
+        check_overlaps(e, texts[i], ps, 20)
     ends = [p["text"][-2:] for p in by[8][:-1]]
     assert set(ends) <= {"\n\n", ". "} and "\n\n" in ends
 
