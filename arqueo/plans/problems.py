@@ -15,19 +15,15 @@ _ROW = "id STRING, fecha STRING, fecha_registro STRING, proveedor STRING, provee
 _HEAD = "complete BOOLEAN, created STRING, url STRING"
 
 
-def erp_snapshot_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The complete ERP snapshots that a batch uses: snapshot_id, url, created (microseconds)."""
+def erp_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The complete ERP snapshots that a batch uses: (headers with snapshot_id, url, created in microseconds; rows with snapshot_id
+    and the row's fields, all strings). Payloads of unused snapshots aren't parsed, and the others once."""
     used = table(spark, sf_dir, "batches").select(F.col("snapshot_id").alias("id")).filter("id IS NOT NULL").distinct()
-    heads = table(spark, sf_dir, "sources").filter("kind = 'erp'").select("id", F.from_json("payload", _HEAD).alias("p")).select("id", "p.*")
-    heads = heads.filter("complete").join(used, "id", "left_semi")
-    x = with_time(heads, F.col("created"), "t")
-    return x.groupBy(F.col("id").alias("snapshot_id")).agg(F.min("url").alias("url"), F.min("t_at").alias("created"))
-
-
-def erp_payload_rows(spark: SparkSession, sf_dir: str, snapshots: DataFrame | None = None) -> DataFrame:
-    """The rows in the payloads of ERP snapshots: snapshot_id and the row's fields, all strings."""
-    x = table(spark, sf_dir, "sources").filter("kind = 'erp'")
-    return x.select(F.col("id").alias("snapshot_id"), F.explode(F.from_json("payload", f"rows ARRAY<STRUCT<{_ROW.replace(' STRING', ': STRING')}>>")["rows"]).alias("r")).select("snapshot_id", "r.*")
+    x = table(spark, sf_dir, "sources").filter("kind = 'erp'").select("id", "payload").join(used, "id", "left_semi")
+    schema = f"{_HEAD}, rows ARRAY<STRUCT<{_ROW.replace(' STRING', ': STRING')}>>"
+    x = written(x.select(F.col("id").alias("snapshot_id"), F.from_json("payload", schema).alias("p")).select("snapshot_id", "p.*").filter("complete"), "payloads")
+    heads = with_time(x.select("snapshot_id", "url", "created"), F.col("created"), "t")
+    return heads.groupBy("snapshot_id").agg(F.min("url").alias("url"), F.min("t_at").alias("created")), x.select("snapshot_id", F.explode("rows").alias("r")).select("snapshot_id", "r.*")
 
 
 def either(df: DataFrame, a: str, b: str) -> Column:
@@ -36,7 +32,7 @@ def either(df: DataFrame, a: str, b: str) -> Column:
 
 
 def row_meaning(rows: DataFrame) -> DataFrame:
-    """snapshot_id, row_id and row_hash, a 256-bit digest of what the row says, whatever its spelling.
+    """snapshot_id, row_id (the id, an identifier already) and row_hash, a 256-bit digest of what the row says, whatever its spelling.
 
     A value that can't be read counts as its identifier. A no-data word, null and blank are the same.
     """
@@ -54,13 +50,14 @@ def row_meaning(rows: DataFrame) -> DataFrame:
         meaning(amount(importe), importe),
         meaning(F.lit(None), F.col("estado")),
     ]
-    return x.select("snapshot_id", identifier(F.col("id")).alias("row_id"), F.unhex(F.sha2(F.concat_ws("\x01", *parts), 256)).alias("row_hash"))
+    return x.select("snapshot_id", F.col("id").alias("row_id"), F.unhex(F.sha2(F.concat_ws("\x01", *parts), 256)).alias("row_hash"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = written(erp_snapshot_headers(spark, sf_dir), "headers")
+    heads, rows = erp_snapshots(spark, sf_dir)
     pairs = written(neighbours(heads, "url", [F.col("created"), F.col("snapshot_id")]), "pairs")
-    return snapshot_changes(row_meaning(erp_payload_rows(spark, sf_dir)), pairs)
+    # A payload is parsed by one task; its rows are spread by their id, by which they are compared after, before each is read.
+    return snapshot_changes(row_meaning(rows.withColumn("id", identifier(F.col("id"))).repartition("id")), pairs)
 
 
 def p3_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: list[str] = []
@@ -35,8 +37,37 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_arqueo"
 
 
+_cleaned: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/arqueo/{name}-{uuid.uuid4().hex}"
+    """A path in the application's own part of the shared folder, which is deleted when its driver ends."""
+    folder = f"{shared_folder(spark)}/arqueo/{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _cleaned.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once an application, so that it needn't be installed on every machine."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    if not _local_folders:
+        _local_folders.append(tempfile.mkdtemp(prefix="arqueo-"))
+    root, target = Path(__file__).resolve().parent, f"{_local_folders[0]}/arqueo-{app}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(target)  # the driver hands it out
+    _shipped.add(app)
 
 
 def written(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
@@ -56,17 +87,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A side of at most so many rows is broadcast; a larger one is joined by shuffle.
+#: A side of at most so many rows and bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        total = total + 16
+    return total
 
-    The count stops at the limit. df should be cheap to compute, such as a written table.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else as it is.
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The count stops at the limit. df should be cheap to compute, such as a written table.
+    """
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(_width(df))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
