@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arqueo.session import written
+from arqueo.session import ship, written
 
 #: Every how many places of the text the index keeps a suffix position.
 SAMPLE = 16
@@ -224,6 +224,7 @@ def leaked_spans(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     one item merged. A text with fewer words than a phrase holds none; null and empty texts and items give no rows. Words and
     phrases count as equal if their 64-bit hashes are. Result: doc_id, item_id, first_word, last_word (places among the document's words, from 0).
     """
+    ship(corpus.sparkSession)
     kind = corpus.schema[doc_id].dataType.simpleString()
     owners = written(phrases_of(items, item_id, item_text, n_words), "phrases")
     distinct = owners.select("phrase", "key").distinct()

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.llm.tokens import FOLDER, RANKS, encoding
+from arqueo.llm.tokens import FOLDER, RANKS, shared_encoding
 
 #: Boundaries by strength, as patterns of UTF-8 bytes; a cut stands behind the match.
 BOUNDARIES = [
@@ -147,13 +147,13 @@ def pieces(df: DataFrame, doc_id: str, text: str, limit: int = 2048, overlap: in
     Result: doc_id, piece (from 0), n_pieces, start_char, new_char (where the text that no earlier piece has begins), end_char,
     n_tokens, text.
     """
-    kind = df.schema[doc_id].dataType.simpleString()
+    kind, get = df.schema[doc_id].dataType.simpleString(), shared_encoding(df.sparkSession, folder, ranks)
     x = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.octet_length("text") > limit))
 
     def run(batches):
         import pandas as pd
 
-        enc = encoding(folder, ranks)
+        enc = get()
         for batch in batches:
             rows = []
             for i, s in zip(batch["doc_id"], batch["text"], strict=True):
