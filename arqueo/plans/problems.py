@@ -9,6 +9,8 @@ from arqueo.functions.text import amount, data, identifier, order_number
 from arqueo.functions.times import with_time
 from arqueo.operators.snapshots import neighbours, snapshot_changes
 from arqueo.operators.timestamps import normalised_times, not_normal, union_all
+from arqueo.plans.registry import sql_amount, sql_data, sql_identifier, sql_order
+from arqueo.plans.times_sql import times
 from arqueo.session import table, written
 
 _ROW = "id STRING, fecha STRING, fecha_registro STRING, proveedor STRING, proveedor_id STRING, nif STRING, pedido STRING, importe STRING, importe_esperado STRING, estado STRING"
@@ -95,4 +97,38 @@ def p4_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_COLUMNS = ["id", "fecha", "fecha_registro", "proveedor", "proveedor_id", "nif", "pedido", "importe", "importe_esperado", "estado"]
+
+
+def _text(c: str) -> str:
+    return f"coalesce({sql_data(c)}, '')"
+
+
+_CHANGES = f"""
+j AS (SELECT id, payload FROM sources WHERE kind = 'erp' AND id IN (SELECT snapshot_id FROM batches) AND CAST(json_extract(payload, '$.complete') AS BOOLEAN)),
+x AS (SELECT id AS sid, unnest(CAST(json_extract(payload, '$.rows') AS JSON[])) AS r FROM j),
+rr AS (SELECT sid, {', '.join(f"json_extract_string(r, '$.{c}') AS {c}" for c in _COLUMNS)} FROM x),
+tv AS (SELECT coalesce(fecha, fecha_registro) AS v FROM rr UNION ALL SELECT json_extract_string(payload, '$.created') FROM j), {times('tv')},
+m AS (SELECT sid, {sql_identifier('id')} AS row_id, concat_ws('|', coalesce(CAST(day AS VARCHAR), {_text('coalesce(fecha, fecha_registro)')}), {_text('coalesce(proveedor, proveedor_id)')}, {_text('nif')}, coalesce({sql_order('pedido')}, {_text('pedido')}),
+  coalesce(CAST({sql_amount('coalesce(importe, importe_esperado)')} AS VARCHAR), {_text('coalesce(importe, importe_esperado)')}), {_text('estado')}) AS h FROM rr LEFT JOIN times ON v = coalesce(fecha, fecha_registro)),
+hd AS (SELECT id AS sid, min(json_extract_string(payload, '$.url')) AS url, min(us) AS us FROM j JOIN times ON v = json_extract_string(payload, '$.created') GROUP BY 1),
+pr AS (SELECT sid AS a, lead(sid) OVER (PARTITION BY url ORDER BY us, sid) AS b FROM hd),
+sd AS (SELECT a, b, row_id, h, false AS later FROM pr JOIN m ON sid = a WHERE b IS NOT NULL UNION ALL SELECT a, b, row_id, h, true FROM pr JOIN m ON sid = b),
+g AS (SELECT a, b, row_id, list_sort(list(DISTINCT h) FILTER (NOT later)) AS p, list_sort(list(DISTINCT h) FILTER (later)) AS q FROM sd GROUP BY 1, 2, 3),
+c AS (SELECT a AS prev_snapshot_id, b AS snapshot_id, row_id, CASE WHEN p IS NULL THEN 'added' WHEN q IS NULL THEN 'removed' ELSE 'changed' END AS change_kind FROM g WHERE p IS DISTINCT FROM q)"""
+
+_ALL_TIMES = f"""
+d AS (SELECT id, json_extract_string(extraction, '$.fields.date.value') AS a, json_extract_string(extraction, '$.ocr_metadata.read_at') AS b FROM invoice_documents WHERE extraction IS NOT NULL),
+e AS (SELECT coalesce(snapshot_id, '') || '/' || coalesce(CAST(idx AS VARCHAR), '') AS k, fecha, fecha_registro FROM erp_rows),
+al AS (SELECT 'erp_rows' AS tab, k AS rec_key, 'fecha' AS field, fecha AS v FROM e UNION ALL SELECT 'erp_rows', k, 'fecha_registro', fecha_registro FROM e UNION ALL SELECT 'invoice_documents', id, 'date', a FROM d UNION ALL SELECT 'invoice_documents', id, 'read_at', b FROM d),
+tv AS (SELECT v FROM al), {times('tv')},
+xt AS (SELECT tab, rec_key, field, al.v AS raw, norm, us FROM al LEFT JOIN times ON times.v = al.v WHERE al.v IS NOT NULL)"""
+
+SQL = {
+    "p3_found": f"WITH {_CHANGES} SELECT * FROM c",
+    "p3_change_counts": f"WITH {_CHANGES} SELECT prev_snapshot_id, snapshot_id, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed, count(*) FILTER (change_kind = 'changed') AS changed FROM c GROUP BY 1, 2",
+    "p4_found": f"WITH {_ALL_TIMES} SELECT DISTINCT tab, rec_key, field, norm FROM xt WHERE norm <> raw",
+    "p4_by_field": f"""WITH {_ALL_TIMES} SELECT tab, field, count(*) AS n_values, count(*) FILTER (raw = norm) AS n_normal, count(*) FILTER (raw <> norm) AS n_rewritten, count(*) FILTER (norm IS NULL) AS n_unreadable, min(us) AS first_at, max(us) AS last_at FROM xt GROUP BY 1, 2""",
+}
+
 QUERIES = {"p3_found": p3_found, "p3_change_counts": p3_change_counts, "p4_found": p4_found, "p4_by_field": p4_by_field}

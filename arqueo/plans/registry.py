@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arqueo.functions.text import DASHES, NARROW, NO_DATA, WIDE
+# Fixed values that the SQL has for itself: full-width forms and theirs, words for no data, dashes of an order number.
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+NO_DATA = ["N/D", "N/A", "NULL", "S/D", "SIN_DATO", "SINDATO", "SIN_PLANTILLA", "SINPLANTILLA"]
+DASHES = r"\x{002D}\x{2010}-\x{2015}\x{2212}\x{2043}\x{02D7}\x{30FC}"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +41,7 @@ def sql_data(c: str) -> str:
 
 
 def sql_order(c: str) -> str:
-    d = DASHES.replace(r"\x{", r"\x{")
+    d = DASHES
     return rf"(CASE WHEN regexp_matches({sql_identifier(c)}, '^PO[{d}]*[0-9]{{4}}[{d}]*[0-9]{{6}}$') THEN regexp_replace({sql_identifier(c)}, '^PO[{d}]*([0-9]{{4}})[{d}]*([0-9]{{6}})$', 'PO-\1-\2') END)"
 
 
