@@ -247,19 +247,6 @@ def wi_duplicate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(g, "order").select("id", "canonical_id", F.when(F.col("n") == 1, "none").when(F.col("k") == 1, "confirmed_copy").otherwise("conflict").alias("state"))
 
 
-@query("""
-WITH h AS (SELECT event_id, user_id, sha256(event_id || '|' || event_type) AS own, lag(sha256(event_id || '|' || event_type), 1, repeat('0', 64)) OVER (PARTITION BY user_id ORDER BY event_id) AS prev,
-  CASE WHEN event_id % 97 = 0 THEN 'broken' END AS fault FROM events)
-SELECT event_id, user_id, true AS bad_link FROM h WHERE fault IS NOT NULL""")
-def wi_chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hash chain of each user's events, of which every 97th link is spoilt, and the links found broken."""
-    own = F.sha2(F.concat(F.col("event_id").cast("string"), F.lit("|"), "event_type"), 256)
-    x = table(spark, sf_dir, "events").select("event_id", "user_id", own.alias("own"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    x = x.withColumn("prev", F.when(F.col("event_id") % 97 == 0, F.lit("spoilt")).otherwise(F.coalesce(F.lag("own").over(w), F.lit("0" * 64))))
-    return rel.chain_breaks(x, "user_id", "event_id", "prev", "own", F.lit("")).filter("bad_link").select("event_id", "user_id", "bad_link")
-
-
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def wi_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
