@@ -61,8 +61,9 @@ def chain_breaks(df: DataFrame, series: str, order: str, prev_hash: str, own_has
     return x.filter(link | digest).withColumns({"bad_link": link, "bad_hash": digest}).drop("__before")
 
 
-def sealed(df: DataFrame, series: str, order: str, body: str, seed: str = "0" * 64) -> DataFrame:
-    """df with prev_hash and own_hash: in each series a hash is that of the one before and the body (text), the first follows ``seed``.
+def sealed(df: DataFrame, series: str, order: str, body: str, seed: str = "0" * 64, seeds: DataFrame | None = None) -> DataFrame:
+    """df with prev_hash and own_hash: in each series a hash is that of the one before and the body (text), the first follows ``seed``,
+    or the seed that ``seeds`` (series, seed) has for it.
 
     A chain is serial: a series is folded by one task, so a series should be no larger than a task holds; series are spread. Orders within a series differ.
     A null body counts as empty.
@@ -70,11 +71,13 @@ def sealed(df: DataFrame, series: str, order: str, body: str, seed: str = "0" *
     text = F.coalesce(F.col(body), F.lit(""))
     x = df.withColumn("__b", text)
     chains = x.groupBy(series).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__b").alias("b")))).alias("rows"))
-    start = F.struct(F.lit(seed).alias("h"), F.array().cast("array<string>").alias("hs"))
+    chains = chains.join(seeds.select(series, F.col("seed").alias("__s")), series, "left") if seeds is not None else chains.withColumn("__s", F.lit(None).cast("string"))
+    chains = chains.withColumn("__s", F.coalesce("__s", F.lit(seed)))
+    start = F.struct(F.col("__s").alias("h"), F.array().cast("array<string>").alias("hs"))
     hashes = F.aggregate("rows", start, lambda acc, r: F.struct(F.sha2(F.concat(acc["h"], r["b"]), 256).alias("h"), F.concat(acc["hs"], F.array(F.sha2(F.concat(acc["h"], r["b"]), 256))).alias("hs")), lambda acc: acc["hs"])
-    links = chains.select(series, F.col("rows.o").alias("os"), hashes.alias("hs"))
-    links = links.select(series, F.posexplode("os").alias("i", order), "hs")
-    links = links.select(series, order, F.when(F.col("i") == 0, seed).otherwise(F.get("hs", F.col("i") - 1)).alias("prev_hash"), F.get("hs", F.col("i")).alias("own_hash"))
+    links = chains.select(series, F.col("rows.o").alias("os"), hashes.alias("hs"), "__s")
+    links = links.select(series, F.posexplode("os").alias("i", order), "hs", "__s")
+    links = links.select(series, order, F.when(F.col("i") == 0, F.col("__s")).otherwise(F.get("hs", F.col("i") - 1)).alias("prev_hash"), F.get("hs", F.col("i")).alias("own_hash"))
     return x.drop("__b").join(links, [series, order])
 
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arqueo.session import drop_path
+from arqueo.functions.unicode import nfc
+from arqueo.operators.relational import sealed
+from arqueo.session import drop_path, ship
 
 
-def strict_csv(spark: SparkSession, path: str, columns: list[str], name: str = "file", max_bytes: int = 10_000_000) -> DataFrame:
+def strict_csv(spark: SparkSession, path: str, columns: list[str], name: str = "file", max_bytes: int = 10_000_000, n_rows: int | None = None, filled: list[str] | None = None) -> DataFrame:
     """A CSV file whose header must hold exactly ``columns``, in any order, as strings. A byte order mark is ignored.
 
-    Raises ValueError for repeated, missing or unknown headers, for a file of more than max_bytes, and for one without rows.
+    Raises ValueError for repeated, missing or unknown headers, for a file of more than max_bytes, for one without rows, for other than ``n_rows`` rows, and for
+    an empty value in a column of ``filled``.
     """
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     if size > max_bytes:
@@ -23,8 +30,14 @@ def strict_csv(spark: SparkSession, path: str, columns: list[str], name: str = "
         raise ValueError(f"{name}: columns {header} instead of {columns}")
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
     x = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    if x.limit(1).count() == 0:
+    empty = [F.count_if(F.col(c).isNull() | (F.trim(c) == "")) for c in filled or []]
+    n, *gaps = x.agg(F.count("*"), *empty).first()
+    if n == 0:
         raise ValueError(f"{name}: no rows")
+    if n_rows is not None and n != n_rows:
+        raise ValueError(f"{name}: {n} rows instead of {n_rows}")
+    if any(gaps):
+        raise ValueError(f"{name}: empty values in {filled}")
     return x.select(*columns)
 
 
@@ -36,12 +49,20 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def document_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
-    """Files below a folder with the digest of their content: file_id, path, sha256, length. Raises if there are none or names repeat.
+    """Files below a folder with the digest of their content: file_id (the name in NFC), path, sha256, length, magic (the first four bytes).
 
-    Spark does not list files of no bytes, so these count as absent.
+    Raises ValueError if there are none, names repeat, or a file has no bytes.
     """
+    ship(spark)
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    fits = re.compile(fnmatch.translate(pattern))
+    while listed.hasNext():  # Spark leaves files of no bytes out
+        f = listed.next()
+        if f.getLen() == 0 and fits.match(f.getPath().getName()):
+            raise ValueError(f"{f.getPath()} has no bytes")
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    x = x.select(F.element_at(F.split("path", "/"), -1).alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), "length")
+    x = x.select(nfc(F.element_at(F.split("path", "/"), -1)).alias("file_id"), "path", F.sha2("content", 256).alias("sha256"), "length", F.substring("content", 1, 4).alias("magic"))
     n, names = x.agg(F.count("*"), F.count_distinct("file_id")).first()
     if n == 0 or n != names:
         raise ValueError(f"{n} files with {names} names in {folder}")
@@ -63,10 +84,53 @@ def put_missing(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def put_blobs(blobs: DataFrame, path: str) -> int:
+    """Puts contents (column content, binary) into the store at path under their digest, each once; returns how many are new.
+
+    A content that is there already is read and must have its digest still, else ValueError.
+    """
+    spark = blobs.sparkSession
+    x = blobs.select("content").filter("content IS NOT NULL").withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        kept = spark.read.schema("content binary, sha256 string").parquet(path)
+        spoilt = kept.join(x.select("sha256"), "sha256", "left_semi").filter(F.sha2("content", 256) != F.col("sha256")).limit(1).count()
+        if spoilt:
+            raise ValueError(f"a content in {path} hasn't its digest")
+    return put_missing(x, path, "sha256")
+
+
+def append_sealed(events: DataFrame, path: str, step: int, series: str, order: str, body: str) -> None:
+    """Appends the events of a step to hash chains at path (``relational.sealed``), each chain going on from its last hash. A step that runs again replaces its own
+    events, so steps must come in order."""
+    spark = events.sparkSession
+    own = f"{path.rstrip('/')}/step={step}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+    before = [f"{path.rstrip('/')}/{n}" for n in names if n.startswith("step=") and int(n[5:]) < step]
+    seeds = None
+    if before:
+        kept = spark.read.parquet(*before)
+        seeds = kept.groupBy(series).agg(F.max_by("own_hash", order).alias("seed"))
+    sealed(events, series, order, body, seeds=seeds).write.mode("overwrite").parquet(own)
+
+
+def label_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_id, field and expected of label files, JSON objects of files by name, each with fields by name. Null labels stay: the field is not there."""
+    x = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, STRUCT<fields: MAP<STRING, STRING>>>").alias("m"))
+    return x.select(F.explode("m").alias("file_id", "l")).select("file_id", F.explode("l.fields").alias("field", "expected"))
+
+
+#: The file of an export that says which version holds.
+POINTER = "CURRENT"
+
+
 def export_jsonl(df: DataFrame, path: str, key: str, columns: list[str]) -> int:
-    """Writes one JSON object a line in order of key, sorted keys, nulls included; returns the rows. The folder is replaced as a whole.
+    """Writes one JSON object a line in order of key, sorted keys, nulls included; returns the rows. ``exported`` reads them.
 
-    Raises ValueError if there are no rows, a key is null or repeats, or any other column is null: nothing is written then.
+    Each export is a version of its own below path; when it is whole, a pointer is switched to it, in one rename, and the older versions go. A crash at any time
+    leaves the last good export. Raises ValueError if there are no rows, a key is null or repeats, or any other column is null: nothing is written then.
     """
     bad = F.lit(False)
     for c in columns:
@@ -74,11 +138,27 @@ def export_jsonl(df: DataFrame, path: str, key: str, columns: list[str]) -> int:
     n, keys, nulls = df.agg(F.count("*"), F.count_distinct(key), F.count_if(bad)).first()
     if n == 0 or n != keys or nulls:
         raise ValueError(f"{n} rows, {keys} keys, {nulls} rows with nulls")
-    spark = df.sparkSession
-    tmp = path.rstrip("/") + ".tmp"
-    df.select(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).alias("value"), F.col(key).alias("__k")).repartitionByRange("__k").sortWithinPartitions("__k").select("value").write.mode("overwrite").text(tmp)
-    drop_path(spark, path)
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (tmp, path))
-    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
-        raise OSError(f"can't rename {tmp}")
+    spark, root, version = df.sparkSession, path.rstrip("/"), f"version-{uuid.uuid4().hex}"
+    lines = df.select(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).alias("value"), F.col(key).alias("__k"))
+    lines.repartitionByRange("__k").sortWithinPartitions("__k").select("value").write.text(f"{root}/{version}")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(fs_path(f"{root}/{POINTER}.{version}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs_path(root).toUri() if "://" in root else fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fs_path(f"{root}/{POINTER}.{version}")), fs.makeQualified(fs_path(f"{root}/{POINTER}")), over)
+    for s in fs.listStatus(fs_path(root)):
+        name = s.getPath().getName()
+        if name not in (version, POINTER) and name.startswith(("version-", f"{POINTER}.")):
+            drop_path(spark, f"{root}/{name}")
     return n
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the last whole export at path."""
+    root = path.rstrip("/")
+    return spark.read.text(f"{root}/{spark.read.text(f'{root}/{POINTER}').first()[0]}")

@@ -1,4 +1,4 @@
-"""Cells of XLSX workbooks as a Spark data source: zip and XML, no formulas are run."""
+"""Cells of XLSX workbooks (zip and XML, no formulas are run), and the tables of their sheets."""
 
 from __future__ import annotations
 
@@ -8,7 +8,12 @@ import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+
+from arqueo.functions.identity import header_key
+from arqueo.functions.readings import money
+from arqueo.functions.text import identifier
+from arqueo.session import ship
 
 SCHEMA = "sheet string, row int, col int, value string, is_formula boolean"
 #: A workbook that unpacks to more bytes is refused.
@@ -42,32 +47,73 @@ def cells(data: bytes, max_bytes: int = MAX_BYTES):
                     yield sheet.get("name"), int(row), col, shared[int(v.text)] if c.get("t") == "s" else v.text, False
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.path.split(",")]
-
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            yield from cells(f.read())
-
-
-class Workbook(DataSource):
-    """One partition for each workbook; option path, several by commas."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options["path"])
-
-
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(Workbook)
-    return spark.read.format("workbook").option("path", path).load()
+    """The cells of the workbooks at a path of any file system, one task for each: sheet, row, col, value, is_formula."""
+    ship(spark)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                rows = list(cells(content))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["sheet", "row", "col", "value", "is_formula"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
+
+
+def sheet_table(book: DataFrame, sheet: str, columns: dict[str, list[str]], optional: dict[str, list[str]] | None = None) -> DataFrame:
+    """The rows below the header of a sheet: sheet, row, the columns as text, and formulas, the names of those that hold one (their value is null).
+
+    columns, optional: name -> header spellings, compared by letters and digits without accents. A missing sheet or mandatory header, and two headers
+    for one column, raise ValueError; rows whose first column is empty are left out. The header is read by the driver: one row.
+    """
+    own = book.filter(F.col("sheet") == sheet)
+    keys = {header: name for name, headers in {**columns, **(optional or {})}.items() for header in headers}
+    heads = own.filter("row = 1").select("col", header_key(F.col("value")).alias("key")).collect()
+    if not heads:
+        raise ValueError(f"no sheet {sheet}, or it has no header")
+    found: dict[str, int] = {}
+    for r in heads:
+        name = keys.get(r["key"])
+        if name in found:
+            raise ValueError(f"{sheet}: two columns for {name}")
+        if name:
+            found[name] = r["col"]
+    missing = [n for n in columns if n not in found]
+    if missing:
+        raise ValueError(f"{sheet}: no columns {missing}")
+    x = own.filter("row > 1").groupBy("sheet", "row").agg(
+        *[F.max(F.when((F.col("col") == c) & ~F.col("is_formula"), F.col("value"))).alias(n) for n, c in found.items()],
+        F.array_compact(F.array(*[F.max(F.when((F.col("col") == c) & F.col("is_formula"), F.lit(n))) for n, c in found.items()])).alias("formulas"),
+        F.max(F.when(F.col("col") == found[next(iter(columns))], F.col("value"))).alias("__first"),
+    )
+    return x.filter(F.trim("__first") != "")
+
+
+def master(book: DataFrame, sheets: dict[str, dict[str, list[str]]]) -> dict[str, DataFrame]:
+    """``sheet_table`` of each mandatory sheet; any that is missing is an error."""
+    return {name: sheet_table(book, name, columns) for name, columns in sheets.items()}
+
+
+def history(book: DataFrame, sheet: str, columns: dict[str, list[str]], optional: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orders, notes, warnings) of an optional sheet whose columns are order and total, at least; all empty if it isn't there.
+
+    A row whose order is a formula or no order number is a note: its text and place. A total that is a formula or can't be read is null and gives a warning.
+    """
+    empty = book.filter("false").select("sheet", "row", F.lit("").alias("__first"))
+    if book.filter(F.col("sheet") == sheet).limit(1).count() == 0:
+        return empty.select("sheet", "row", F.col("__first").alias("order"), F.lit("").alias("total")), empty.select("sheet", "row", F.col("__first").alias("text")), empty.select("sheet", "row", F.col("__first").alias("order"), F.lit("").alias("reason"))
+    x = sheet_table(book, sheet, columns, optional).withColumn("__key", identifier(F.col("__first")))
+    is_order = ~F.array_contains("formulas", "order") & F.col("__key").rlike("^PO-[0-9]{4}-[A-Z0-9-]+$")
+    total = money(F.col("total"))
+    rest = [c for c in x.columns if c not in ("sheet", "row", "order", "total", "formulas") and not c.startswith("__")]
+    orders = x.filter(is_order).select("sheet", "row", F.col("__key").alias("order"), total.cast("string").alias("total"), *rest)
+    return orders, x.filter(~is_order).select("sheet", "row", F.col("__first").alias("text")), x.filter(is_order & total.isNull()).select("sheet", "row", F.col("__key").alias("order"), F.lit("unreadable_total").alias("reason"))
+
+
+def sheet_page(book: DataFrame, sheet: str, page: int = 1, column_page: int = 1, rows: int = 50, columns: int = 8) -> DataFrame:
+    """A page of a sheet as a viewer shows it: row, col and value, formulas as their text. Page numbers below one count as one."""
+    r, c = (max(1, page) - 1) * rows, (max(1, column_page) - 1) * columns
+    return book.filter((F.col("sheet") == sheet) & F.col("row").between(r + 1, r + rows) & F.col("col").between(c + 1, c + columns)).select("row", "col", "value").orderBy("row", "col")

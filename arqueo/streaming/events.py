@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from arqueo.session import new_path
 
 
-def hourly_counts(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+def hourly_counts(spark: SparkSession, path: str, files_per_trigger: int = 8, late: str = "30 days") -> DataFrame:
     """window_start, event_type, n and total of all events that are there now, by a stream that stops when it has read them.
 
-    State is one row for each hour and type. Updates go to a table in the shared folder, batch by batch; the last update of each
+    State is one row for each hour and type, kept until ``late`` after the newest event seen; an event that arrives later than that counts no more. Updates go to a table in the shared folder, batch by batch; the last update of each
     window is its result, so a batch that runs again after a failure changes nothing.
     """
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path + "*")
-    counts = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path + "*").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    counts = events.groupBy(F.window("at", "1 hour")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     out = new_path(spark, "stream")
 
     def save(batch: DataFrame, batch_id: int) -> None:
