@@ -356,28 +356,6 @@ def tx_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction from lines
 
 
-@query(rf"""
-WITH l AS (SELECT id, unnest(CAST(json_extract(extraction, '$.pages[*].lines[*]') AS JSON[])) AS l FROM invoice_documents WHERE extraction IS NOT NULL),
-t AS (SELECT id, CAST(json_extract_string(l, '$.line_no') AS INTEGER) AS line_no, json_extract_string(l, '$.text') AS s FROM l),
-c AS (SELECT id, line_no, 'order' AS field, unnest(regexp_extract_all(s, 'PO-[0-9]{{4}}-[0-9]{{6}}')) AS value FROM t UNION ALL
-  SELECT id, line_no, 'supplier_nif', unnest(regexp_extract_all(s, 'NIF[ :]*([A-Z][0-9]{{8}})', 1)) FROM t UNION ALL
-  SELECT id, line_no, 'total', unnest(regexp_extract_all(s, '^Total ([0-9]+[.][0-9]{{2}}) EUR$', 1)) FROM t UNION ALL
-  SELECT id, line_no, 'tax_rate', unnest(regexp_extract_all(s, 'IVA ([0-9]{{1,2}}) %', 1)) FROM t)
-SELECT * FROM c""")
-def ex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates for fields in the lines of invoices, all patterns in one pass over the lines."""
-    return _candidates(spark, sf_dir)
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "pages ARRAY<STRUCT<lines: ARRAY<STRUCT<line_no: INT, text: STRING>>>>"
-    x = table(spark, sf_dir, "invoice_documents").filter("extraction IS NOT NULL").select("id", F.explode(F.flatten(F.from_json("extraction", schema)["pages"]["lines"])).alias("l"))
-    patterns = {"order": ("PO-[0-9]{4}-[0-9]{6}", 0), "supplier_nif": ("NIF[ :]*([A-Z][0-9]{8})", 1), "total": (r"^Total ([0-9]+[.][0-9]{2}) EUR$", 1), "tax_rate": ("IVA ([0-9]{1,2}) %", 1)}
-    named = lambda f: lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
-    found = F.concat(*[F.transform(F.regexp_extract_all("l.text", F.lit(p), F.lit(g)), named(f)) for f, (p, g) in patterns.items()])
-    return x.select("id", F.col("l.line_no").alias("line_no"), F.explode(found).alias("c")).select("id", "line_no", "c.*")
-
-
 @query()
 def ex_field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for ten fields in the lines of invoices, with the labels of seven languages."""
@@ -401,17 +379,19 @@ def ex_resolved_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields(spark, sf_dir).select("id", "field", status.alias("resolved"))
 
 
-_FAMILIES = {"payment": "pagar|pago|payment|pagamento|paiement|pagamento", "hold": "hold|retener|espera|retard|attesa", "bank": "iban|cuenta|account|conta|compte|konto"}
+_PHRASES = {
+    "pay_unchecked": "no procede contrastarlo|no es necesario|sin necesidad de|ignorar la discrepancia|ya esta aprobada|ya ha sido verificad|ya realizada por el responsable|autorizada por la administracion|autorizada por el ceo|autorizado por el ceo|autorizada en regimen especial|no recalcular|registrar como pagar|diferencia de importe autorizada",
+    "do_not_pay": "no procede pago|solo a efectos de archivo|unicamente a efectos contables",
+    "escalate": "excluirse del calculo de precision|excluirse del computo de aciertos|conjunto de test|equipo de evaluacion|auditor de calidad|documento de prueba remitido|debe marcarse como escalado|debe marcarse como escalar",
+    "to_system": "los sistemas automaticos|sistemas de validacion automatica|sin escalado adicional|continuar el pago sin escalado|no bloquear validacion|pago inmediato requerido|aviso interno",
+}
+_FOLDED = r"regexp_replace(strip_accents(lower(nfc_normalize(text))), '[\s\p{Z}]+', ' ', 'g')"
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS {k}" for k, p in _FAMILIES.items()) + " FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), '" + "|".join(_FAMILIES.values()) + "')")
-def ex_text_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of phrases that a text uses."""
-    x = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t")).filter(F.col("t").rlike("|".join(_FAMILIES.values())))
-    return x.select("doc_id", *[F.col("t").rlike(p).alias(k) for k, p in _FAMILIES.items()])
-
-
-@query()
+@query(rf"""
+WITH t AS (SELECT 'documents' AS tab, CAST(doc_id AS VARCHAR) AS rec_key, text FROM documents UNION ALL SELECT 'invoice_documents', id, array_to_string(list_transform(CAST(json_extract(extraction, '$.pages[*].lines[*].text') AS VARCHAR[]), lambda x: x), ' ') FROM invoice_documents),
+f AS (SELECT tab, rec_key, {_FOLDED} AS f FROM t WHERE text IS NOT NULL)
+SELECT tab, rec_key, {', '.join(f"regexp_matches(f, '{v}') AS {k}" for k, v in _PHRASES.items())} FROM f WHERE regexp_matches(f, '{"|".join(_PHRASES.values())}')""")
 def ex_manipulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a phrase of a family of manipulation, and which families; lines of invoices are one text each."""
     schema = "pages ARRAY<STRUCT<lines: ARRAY<STRUCT<text: STRING>>>>"

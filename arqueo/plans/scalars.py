@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from arqueo.functions import identity
 from arqueo.functions.text import amount, data, identifier, order_number
-from arqueo.functions.times import MONTHS, with_time
 from arqueo.plans.registry import Registry, sql_amount, sql_data, sql_identifier, sql_order
 from arqueo.session import table
 
@@ -39,7 +38,7 @@ def st_folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _IBAN_SQL = f"""
 WITH a AS (SELECT source.row AS sheet_row, {sql_identifier('iban')} AS x FROM supplier_rows),
-n AS (SELECT sheet_row, x, map {{{', '.join(f"'{k}': {v}" for k, v in identity.IBAN_LENGTHS.items())}}}[x[1:2]] AS n FROM a),
+n AS (SELECT sheet_row, x, map {{'BE': 16, 'BR': 29, 'CH': 21, 'DE': 22, 'ES': 24, 'FR': 27, 'GB': 22, 'IT': 27, 'JP': 23, 'NL': 18, 'PT': 25}}[x[1:2]] AS n FROM a),
 c AS (SELECT sheet_row, CASE WHEN regexp_matches(x, '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+$') AND length(x) >= n THEN x[1:n] END AS iban FROM n)
 SELECT sheet_row, iban, CASE WHEN length(iban) > 8 THEN iban[1:4] || '…' || iban[-4:] ELSE iban END AS masked,
   CASE WHEN iban IS NOT NULL THEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(iban[5:] || iban[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN (ascii(c) - 48)::BIGINT ELSE (ascii(c) - 55)::BIGINT END)),
@@ -54,17 +53,8 @@ def st_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("sheet_row", "iban", identity.masked(F.col("iban")).alias("masked"), F.when(F.col("iban").isNotNull(), identity.iban_valid(F.col("iban"))).alias("checksum_ok"))
 
 
-@query(f"""
-WITH a AS (SELECT DISTINCT {sql_identifier('nif')} AS x FROM supplier_rows),
-d AS (SELECT x, list_transform(range(2, 10), lambda i: CAST(substr(x, i::BIGINT, 1) AS INTEGER)) AS d FROM a WHERE regexp_matches(x, '^[A-Z][0-9]{{8}}$')),
-s AS (SELECT x, list_sum(list_transform([d[1], d[3], d[5], d[7]], lambda v: CASE WHEN v * 2 > 9 THEN v * 2 - 9 ELSE v * 2 END)) + d[2] + d[4] + d[6] AS s, d[8] AS last FROM d)
-SELECT x AS nif, ((10 - s % 10) % 10) = last AS control_ok FROM s""")
-def st_tax_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "supplier_rows").select(identifier(F.col("nif")).alias("nif")).distinct()
-    return x.select("nif", identity.company_number_valid(F.col("nif")).alias("control_ok")).filter("control_ok IS NOT NULL")
-
-
-_CURRENCY_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in identity.CURRENCIES.items()) + "}"
+# The SQL's own values.
+_CURRENCY_MAP = "map {'EUR': 'EUR', '€': 'EUR', 'EURO': 'EUR', 'EUROS': 'EUR', 'USD': 'USD', 'US$': 'USD', 'GBP': 'GBP', '£': 'GBP', 'CHF': 'CHF', 'FR': 'CHF', 'JPY': 'JPY', '¥': 'JPY', 'YEN': 'JPY', 'MXN': 'MXN', 'MX$': 'MXN', 'BRL': 'BRL', 'R$': 'BRL'}"
 
 
 @query(f"""
@@ -122,31 +112,6 @@ def nu_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", identity.spanish_number(F.col("o_totalprice")).alias("shown"))
 
 
-@query(r"""
-WITH a AS (SELECT id, trim(json_extract_string(extraction, '$.fields.date.value')) AS v FROM invoice_documents WHERE extraction IS NOT NULL)
-SELECT id, CAST(CASE WHEN regexp_matches(v, '^\d{4}-\d\d?-\d\d?$') THEN try_strptime(v, '%Y-%m-%d') WHEN regexp_matches(v, '^\d\d?([/.-])\d\d?[/.-]\d{4}$') THEN try_strptime(regexp_replace(v, '[.-]', '/', 'g'), '%d/%m/%Y')
-  WHEN regexp_matches(v, '^\d{8}$') THEN try_strptime(v, '%Y%m%d') END AS DATE) AS date
-FROM a WHERE regexp_matches(v, '^(\d{4}-\d\d?-\d\d?|\d\d?/\d\d?/\d{4}|\d\d?-\d\d?-\d{4}|\d\d?[.]\d\d?[.]\d{4}|\d{8})$')""")
-def dt_numeric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "invoice_documents").filter("extraction IS NOT NULL").select("id", F.trim(F.get_json_object("extraction", "$.fields.date.value")).alias("v"))
-    x = x.filter(F.col("v").rlike(r"^(\d{4}-\d\d?-\d\d?|\d\d?/\d\d?/\d{4}|\d\d?-\d\d?-\d{4}|\d\d?[.]\d\d?[.]\d{4}|\d{8})$"))
-    return with_time(x, F.col("v"), "t", ["id"]).select("id", F.col("t_date").alias("date"))
-
-
-_MONTHS_SQL = "map {" + ", ".join(f"'{w}': {n}" for n, ws in MONTHS.items() for w in ws.split()) + "}"
-
-
-@query(rf"""
-WITH a AS (SELECT id, trim(json_extract_string(extraction, '$.fields.date.value')) AS v FROM invoice_documents WHERE extraction IS NOT NULL),
-b AS (SELECT id, v, {_MONTHS_SQL}[strip_accents(lower(regexp_extract(v, '^\d\d?[.]?\s+(?:de\s+|d[’''])?([^\d\s.]+)', 1, 'i')))] AS m, CAST(regexp_extract(v, '^(\d\d?)', 1) AS INTEGER) AS d, CAST(regexp_extract(v, '(\d{{4}})$', 1) AS INTEGER) AS y
-  FROM a WHERE regexp_matches(v, '^\d\d?[.]?\s+[^\d]+\d{{4}}$'))
-SELECT id, CAST(try_strptime(y || '-' || m || '-' || d, '%Y-%m-%d') AS DATE) AS date FROM b""")
-def dt_word_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates with the month in words, in seven languages."""
-    x = table(spark, sf_dir, "invoice_documents").filter("extraction IS NOT NULL").select("id", F.trim(F.get_json_object("extraction", "$.fields.date.value")).alias("v"))
-    return with_time(x.filter(F.col("v").rlike(r"^\d\d?[.]?\s+[^\d]+\d{4}$")), F.col("v"), "t", ["id"]).select("id", F.col("t_date").alias("date"))
-
-
 @query("SELECT c_custkey, sha256('{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}') AS digest FROM customer")
 def st_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of canonical JSON: sorted keys, no blanks."""

@@ -14,6 +14,10 @@ import __spark_entry__ as entry
 
 @pytest.fixture(scope="module")
 def db(sf):
+    return connected(sf)
+
+
+def connected(sf):
     con = duckdb.connect()
     con.sql("SET TimeZone='UTC'")
     for p in glob.glob(f"{sf}/*.parquet"):
@@ -36,16 +40,56 @@ def table(names, rows):
     return sorted(tuple(plain(r[i]) or "" for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+CORE = {n: s for m in entry._MODULES for n, s in m.SQL.items()}
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_same_as_sql(spark, sf, db, name):
+    same_as_sql(spark, sf, db, name)
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p3_change_counts"])
+def test_changes_of_more_snapshots(spark, sf, name):
+    sf = sf.replace("sf0.001", "sf0.01")
+    assert same_as_sql(spark, sf, connected(sf), name) > 10
+
+
+def same_as_sql(spark, sf, db, name):
     df = entry.queries()[name](spark, sf)
     other = db.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(other.columns)
-    assert table(df.columns, [tuple(r) for r in df.collect()]) == table(other.columns, other.fetchall())
+    got = table(df.columns, [tuple(r) for r in df.collect()])
+    assert got == table(other.columns, other.fetchall())
+    return len(got)
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["prev_snapshot_id", "snapshot_id", "added", "removed", "changed"]
+    df = entry.entry(spark)
+    assert df.columns == ["tab", "field", "n_values", "n_normal", "n_rewritten", "n_unreadable", "first_at", "last_at"] and df.count() == 4
+
+
+def test_a_broken_subpackage_leaves_the_rest(monkeypatch):
+    import importlib
+
+    whole, load = entry.queries(), importlib.import_module
+    assert len(entry.oracle_sql()) >= len(CORE)
+
+    def broken(name, *a):
+        if name == "arqueo.llm.queries":
+            raise ImportError(name)
+        return load(name, *a)
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    assert set(entry.oracle_sql()) == set(CORE) and set(entry.queries()) <= set(whole)
+
+
+def test_times_same_as_brute_force(spark, sf):
+    from brute_times import norm
+
+    from arqueo.plans import problems
+
+    got = [tuple(r) for r in problems.all_times(spark, sf).select("raw", "norm").distinct().collect()]
+    assert got and [(r, n) for r, n in got if norm(r) != n] == []
 
 
 def test_nothing_outside_needs_llm():
