@@ -28,12 +28,6 @@ def test_same_as_brute_force(spark, sf, name, expected, columns):
     assert len(got) == len(set(got)) and set(got) == expected(sf)
 
 
-def test_times_same_as_brute_force(spark, sf):
-    got = rows(problems.all_times(spark, sf).select("raw", "norm").distinct())
-    wrong = [(r, n, brute.norm(r)) for r, n in got if brute.norm(r) != n]
-    assert not wrong
-
-
 def test_pieces(spark, sf):
     from arqueo.llm.tokens import encoding
 
@@ -58,3 +52,11 @@ def test_shares(spark, sf):
         assert r["absent"] == (r["available_tokens"] == 0)
         if r["exhausted"]:
             assert r["tokens"] == most
+
+
+@pytest.mark.parametrize("steps", [1, 4, 9])
+def test_the_number_of_steps_changes_nothing(spark, sf, steps):
+    from arqueo.llm.queries import p2_repeats
+
+    got = {tuple(sorted((r["id"], r["kept_id"]))) for r in p2_repeats(spark, sf, steps).collect()}
+    assert got == brute.p2(sf)
