@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arqueo.session import ship, written
+from arqueo.session import empty, ship, written
 
 #: Every how many places of the text the index keeps a suffix position.
 SAMPLE = 16
@@ -233,7 +233,7 @@ def leaked_spans(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, it
     blocks = distinct.groupBy(F.pmod("key", F.lit(max(1, n_blocks))).alias("block")).agg(F.flatten(F.collect_list("phrase")).alias("phrases"), F.collect_list("key").alias("keys"))
     blocks = written(blocks, "blocks") if n_blocks else None
     schema = f"doc_id {kind}, key bigint, place int"
-    found = corpus.sparkSession.createDataFrame([], schema)
+    found = empty(corpus.sparkSession, schema)
     for b in range(n_blocks):
         # One row of at most about BLOCK_PHRASES phrases.
         both = index.crossJoin(F.broadcast(blocks.filter(F.col("block") == b).drop("block")))

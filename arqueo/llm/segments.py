@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from arqueo.session import empty
+
 #: Rows that a bucket should hold; a segment has as many buckets as that takes.
 ROWS = 50_000
 #: Most leading bits of a hash that part a segment.
@@ -95,7 +97,7 @@ class Segments:
         return [f"{s.path}/bucket={b}" for b in self.buckets(s) if near is None or b in near]
 
     def _scan(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else empty(self.spark, self.schema)
 
     def read(self, hashes: DataFrame | None = None, before: int | None = None) -> DataFrame:
         """The rows of steps before ``before``, or of all; with ``hashes`` (column hash), of the buckets that hold any of them only.

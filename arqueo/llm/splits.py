@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from arqueo.llm.components import connected_components
 from arqueo.llm.segments import ROWS, Segments
-from arqueo.session import small_side, written
+from arqueo.session import empty, small_side, written
 
 #: Components of at least this share of the records are assigned one by one; there are at most 1 / LARGE of them.
 LARGE = 0.001
@@ -106,7 +106,7 @@ def merge_components(edges: DataFrame, store: Store, step: int) -> Merged:
         new = roots.join(olds, "node", "left_anti").select("node", F.col("root").alias("component")).join(known.select("node"), "node", "left_anti")
         return Merged(written(new, "new"), old, roots.select("root").distinct())
     roots = connected_components(edges)
-    none = store.spark.createDataFrame([], "component string, root string")
+    none = empty(store.spark, "component string, root string")
     return Merged(roots.select("node", F.col("root").alias("component")), none, roots.select("root").distinct())
 
 

@@ -106,6 +106,63 @@ def p5(d):
             if c:
                 b=max(c,key=lambda r:(bool(comp.get(r[1])),ts(r[3]) if ts(r[3]) is not None else -1e18,r[1],r[2])); out.add((o,f,b[1],b[2]))
     return out
+def learned(rows):
+    """depth of (field, value); rows: (order, time or None, snapshot, idx, {field: value or None})."""
+    seen=collections.Counter()
+    g=collections.defaultdict(list)
+    for o,t,s,i,v in rows:
+        if t is not None: g[o].append((t,s,i,v))
+    for rs in g.values():
+        rs.sort(key=lambda r:r[:3])
+        for f in rs[0][3]:
+            vs=[r[3][f] for r in rs if r[3][f] is not None]
+            for a,b in zip(vs,vs[1:]):
+                if a!=b: seen[f,a,b]+=1
+    strong={(f,a,b):n for (f,a,b),n in seen.items() if n>=2 and n>seen.get((f,b,a),0)}
+    came,went=collections.Counter(),collections.Counter()
+    for (f,a,b),n in strong.items(): went[f,a]+=n; came[f,b]+=n
+    late=lambda f,v:came[f,v]/(came[f,v]+went[f,v])
+    out=collections.defaultdict(set)
+    for f,a,b in strong: out[f,a].add((f,b))
+    def reach(x):
+        done,todo=set(),[x]
+        while todo:
+            for y in out[todo.pop()]:
+                if y not in done: done.add(y); todo.append(y)
+        return done
+    to={x:reach(x) for x in list(out)}
+    edges=[((f,a),(f,b)) for f,a,b in strong if late(f,a)<late(f,b) or (f,a) not in to.get((f,b),())]
+    depth={x:0 for e in edges for x in e}
+    moved=True
+    while moved:
+        moved=False
+        for x,y in edges:
+            if depth[y]<=depth[x]: depth[y]=depth[x]+1; moved=True
+    return depth
+def p5_rows(d):
+    for r in duckdb.sql(f"select pedido,snapshot_id,idx,coalesce(fecha,fecha_registro),coalesce(importe,importe_esperado),coalesce(proveedor,proveedor_id),nif,estado from '{d}/erp_rows.parquet'").fetchall():
+        o=order(r[0])
+        if o: yield o,ts(r[3]),r[1],r[2],{'importe':amt(r[4]),'proveedor':ident(r[5]) or None,'nif':ident(r[6]) or None,'estado':ident(r[7]) or None}
+def p5_current(d):
+    comp=dict(duckdb.sql(f"select snapshot_id,complete from '{d}/erp_snapshot.parquet'").fetchall())
+    rows=list(p5_rows(d)); depth=learned(rows)
+    g=collections.defaultdict(list)
+    for r in rows: g[r[0]].append(r)
+    out=set()
+    for o,rs in g.items():
+        if len(rs)<2: continue
+        for f in ('importe','proveedor','nif','estado'):
+            c=[r for r in rs if r[4][f] is not None]
+            dated=[r for r in c if r[1] is not None]; un=[r for r in c if r[1] is None]
+            sure=lambda r:bool(comp.get(r[2])); dep=lambda r:depth.get((f,r[4][f]))
+            a=max(dated,key=lambda r:(sure(r),r[1],r[2],r[3]),default=None)
+            b=max(un,key=lambda r:(sure(r),-1 if dep(r) is None else dep(r),r[2],r[3]),default=None)
+            if a and b:
+                ka=(sure(a),10**9 if dep(a) is None else dep(a),1); kb=(sure(b),-1 if dep(b) is None else dep(b),0)
+                w=a if ka>kb else b
+            else: w=a or b
+            if w: out.add((o,f,w[2],w[3]))
+    return out
 CONF=dict(zip("АВСЕНІКМОРЅТХаеосрхуіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧοУ","ABCEHIKMOPSTXaeocpxyijsABEZHIKMNOPTYXoY"))
 def skel(s):
     out=[]

@@ -60,3 +60,12 @@ def test_the_number_of_steps_changes_nothing(spark, sf, steps):
 
     got = {tuple(sorted((r["id"], r["kept_id"]))) for r in p2_repeats(spark, sf, steps).collect()}
     assert got == brute.p2(sf)
+
+
+def test_current_survivors_same_as_brute_force(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    got = rows(entry.queries()["p5_current"](spark, sf).select("pedido", "field", "snapshot_id", "idx"))
+    want = brute.p5_current(sf)
+    assert len(got) == len(set(got)) and set(got) == want and want != brute.p5(sf)
+    depth = {(r["field"], r["value"]): r["depth"] for r in entry.queries()["p5_precedence"](spark, sf).filter("field <> 'importe'").collect()}
+    assert depth == {k: v for k, v in brute.learned(list(brute.p5_rows(sf))).items() if k[0] != "importe"}
