@@ -104,3 +104,20 @@ FAMILIES = {
 def families(c: Column) -> dict[str, Column]:
     """Whether a text, folded, holds a phrase of each family of manipulation."""
     return {k: fold(c).rlike("|".join(words)) for k, words in FAMILIES.items()}
+
+
+# What an instruction to a machine looks like.
+_ORDERS = (
+    r"(?iu)agente|ignora[rd]?|no\s+registres|hardcode|equipo\s+de\s+evaluaci[oó]n|no\s+recalcular|debe\s+marcarse|ignore\s+(?:all|previous|the|prior)|system\s*(?:message|prompt|:)"
+    r"|mark\s+(?:as\s+)?(?:PAGAR|NO_PAGAR|paid)|do\s+not\s+(?:log|record)|<\s*script\b|\b(?:curl|wget)\s+https?://|\b(?:execute|ejecuta)\b"
+)
+
+
+def gives_orders(c: Column) -> Column:
+    """Whether a text gives orders to who reads it; null for null."""
+    return c.rlike(_ORDERS)
+
+
+def without_bare_dollar(marks: Column) -> Column:
+    """An array of currency marks without bare dollars, if a code of three letters is among them."""
+    return F.when(F.exists(marks, lambda m: m.rlike("^[A-Za-z]{3}$")), F.filter(marks, lambda m: m != "$")).otherwise(marks)

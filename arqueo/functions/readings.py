@@ -165,3 +165,20 @@ def with_normal_value(df: DataFrame, field: Column, c: Column, prefix: str) -> D
     x = x.withColumn(f"{prefix}_value", barrier(value))
     error = F.when(field.isin(*_TEXTS, *_AMOUNTS, "date", "currency"), F.concat(F.lit("unreadable_"), field)).otherwise("unknown_field")
     return x.withColumn(f"{prefix}_error", F.when(c.isNotNull() & F.col(f"{prefix}_value").isNull(), error)).drop(f"__{prefix}_date", f"__{prefix}_language")
+
+
+def cost_estimate(n: Column, external: Column, hours: Column, per_hour: Column, minutes: Column, per_minute: Column) -> Column:
+    """External costs, machine hours and people's minutes at their prices; null for nothing at all, and for negative or infinite numbers."""
+    parts = [c.cast("double") for c in (n, external, hours, per_hour, minutes, per_minute)]
+    good = F.lit(True)
+    for c in parts:
+        good = good & (c >= 0) & (c < float("inf"))
+    total = parts[1] + parts[2] * parts[3] + parts[4] * parts[5]
+    return F.when(good & (parts[0] > 0) & (total < float("inf")), total)
+
+
+def external_cost(neurons: Column, tokens_in: Column, tokens_out: Column, per_thousand_neurons: float | None, per_million_in: float | None, per_million_out: float | None) -> Column:
+    """What a model's use costs, by neurons if there are any and else by tokens; null where its price is unknown."""
+    dec = lambda x: F.lit(None if x is None else str(x)).cast("decimal(18,8)")
+    by_tokens = (F.coalesce(tokens_in, F.lit(0)) * dec(per_million_in) + F.coalesce(tokens_out, F.lit(0)) * dec(per_million_out)) / 1_000_000
+    return F.when(neurons > 0, neurons / 1000 * dec(per_thousand_neurons)).otherwise(by_tokens).cast("double")
