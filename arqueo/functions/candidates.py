@@ -46,9 +46,9 @@ def _all(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def _amounts(c: Column) -> Column:
+def _amounts(c: Column, yen: Column | None = None) -> Column:
     """base, tax_amount, total and tax_rate: what stands between a label and the next. A first label counts at the start of the line only;
-    an amount has printed cents, and after one without no later one is taken; brackets make it negative."""
+    an amount has printed cents, and after one without no later one is taken; brackets make it negative. Where yen is true, whole thousands with marks are amounts as well."""
     parts = F.split(F.regexp_replace(c, _LABEL, "\u0001$1\u0003$2\u0003$3\u0002"), "\u0001")
     parts = F.when(F.trim(parts[0]) == "", F.slice(parts, 2, F.size(parts))).otherwise(F.slice(parts, 3, F.size(parts)))
 
@@ -56,7 +56,8 @@ def _amounts(c: Column) -> Column:
         base, total, tax = (F.split(F.split(p, "\u0002")[0], "\u0003")[i] != "" for i in range(3))
         rest = F.split(p, "\u0002")[1]
         found = _all(F.regexp_replace(rest, _RATE, "%"), rf"\(\s*{_AMOUNT}\s*\)|{_AMOUNT}", 0)
-        bad = F.array_position(F.transform(found, lambda t: ~t.rlike(r"[.,]\d{2}\s*\)?$")), True)
+        whole = lambda t: F.coalesce(yen, F.lit(False)) & t.rlike(r"^[+-]?\d{1,3}(?:[,.]\d{3})+$") if yen is not None else F.lit(False)
+        bad = F.array_position(F.transform(found, lambda t: ~(t.rlike(r"[.,]\d{2}\s*\)?$") | whole(t))), True)
         found = F.when(bad > 0, F.slice(found, 1, (bad - 1).cast("int"))).otherwise(found)
         found = F.transform(found, lambda t: F.when(t.startswith("("), F.concat(F.lit("-"), F.regexp_replace(t, r"[()]|^\(\s*|\s*\)$", ""))).otherwise(t))
         field = F.when(base, "base").when(total, "total").otherwise("tax_amount")
@@ -87,6 +88,52 @@ def candidates(c: Column) -> Column:
     return F.concat(*[_named(f, x) for f, x in v.items()], _amounts(c))
 
 
+# Labels of the tolerant profile.
+_T_INVOICE = r"(?:factura(?:\s+simplificada)?|invoice|facture|fatura|fattura|rechnung)\s*(?:n(?:[ºo°.]|[úu]m(?:\.|ero)?|r\.)?|n\.\s*[ºo°]|no\.?|#)?"
+_T_DATE = r"(?:fecha(?:\s+(?:de\s+emisi[oó]n|factura))?|date(?:\s+(?:d['’]?émission|of\s+issue|issue))?|data(?:\s+(?:d['’]?emissi[oó]n|de\s+emiss[aã]o))?|ausstellungsdatum)"
+_T_ORDER = r"(?:ref\.?\s*pedido|pedido(?:\s+(?:asociado|cliente))?|su\s+pedido|po|purchase\s+order|bon\s+de\s+commande|comanda|encomenda|ordine|bestellung)"
+_T_TAX_ID = r"(?:nif|cif|tax\s*id|vat\s*id|n[ºo°.]?\s*tva|p\.?\s*iva|ust[\-\s]?id|uid|iva)"
+_T_CLIENT = r"(?iu)cliente|client|bill\s*to|facturar\s*a|faturar\s*a|factur[ée]\s*[àa]|destinatario|rechnungsempf[äa]nger"
+_T_CODE = r"(?<![A-Z0-9])(?:EUR|USD|GBP|CHF|JPY|BRL|MXN)(?![A-Z0-9])"
+_T_CURRENCY = rf"(?iu){_T_CODE}|R\$|MX\$|€|£"
+_T_PO = r"\bPO\s*[-–— ]\s*\d{4}\s*[-–— ]\s*\d{3,6}\b"
+
+
+def document_currency(lines: Column) -> Column:
+    """The one currency code printed in a document's lines (an array of texts), or null if there is none or several."""
+    codes = F.array_distinct(F.flatten(F.transform(lines, lambda t: F.transform(_all(t, rf"(?iu){_T_CODE}", 0), F.upper))))
+    return F.when(F.size(codes) == 1, F.get(codes, F.lit(0)))
+
+
+def line_currency(c: Column, document: Column) -> Column:
+    """The currency that a line's amounts are in: its own code, or its own sign that names one, or the document's where it has an ambiguous sign."""
+    found = _all(c, _T_CURRENCY, 0)
+    code = F.get(F.filter(found, lambda t: t.rlike("^[A-Za-z]{3}$")), F.lit(0))
+    sign = F.get(found, F.lit(0))
+    known = F.create_map(*[F.lit(x) for kv in {"€": "EUR", "£": "GBP", "R$": "BRL", "MX$": "MXN"}.items() for x in kv])
+    return F.coalesce(F.upper(code), F.try_element_at(known, F.upper(sign)), F.when(c.rlike(r"[$¥]|Fr"), document))
+
+
+def tolerant_candidates(c: Column, document: Column) -> Column:
+    """Array of (field, value) for the ten fields of a line by the tolerant profile, values as printed; document: the currency of ``document_currency``.
+
+    Orders may be misshapen behind a label; a date is the rest of its line up to an order's label; all tax rates of a line are given, also
+    contradicting ones; a dollar sign is a candidate only where no currency is known, as what can't be read.
+    """
+    own = line_currency(c, document)
+    v = {
+        "currency": F.concat(_all(c, _T_CURRENCY, 0), F.when(own.isNull(), _all(c, r"(?<![A-Z0-9])\$(?![A-Z0-9])", 0)).otherwise(F.array().cast("array<string>"))),
+        "invoice_number": F.filter(_all(c, rf"(?iu){_T_INVOICE}\s*[:#.]?\s*([A-Z0-9][A-Z0-9/_-]{{2,}})", 1), lambda t: ~t.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$")),
+        "order": F.concat(_all(c, f"(?iu){_T_PO}", 0), F.filter(_all(c, rf"(?iu){_T_ORDER}\s*[:#.]?\s*(PO[^\s,;]{{0,20}})", 1), lambda t: ~t.rlike(f"(?iu)^(?:{_T_PO})$"))),
+        "tax_rate": _all(c, r"(?iu)(\d{1,2}(?:[.,]\d{1,2})?)\s*%\s*(?:[A-Za-zÀ-ÿ]+\s+){0,3}(?:VAT|TVA|IVA|MWST|TAX)\b", 1),
+    }
+    first = lambda pattern: F.array_compact(F.array(F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))))
+    v["date"] = F.transform(first(rf"(?iu){_T_DATE}\s*[:.]?\s*(.+)$"), lambda t: F.trim(F.regexp_replace(t, rf"(?iu)\s+{_T_ORDER}\b.*$", "")))
+    v["supplier_nif"] = F.when(c.rlike(_T_CLIENT), F.array().cast("array<string>")).otherwise(first(rf"(?iu){_T_TAX_ID}\s*[:.]?\s*([A-Z0-9./-]{{8,24}})"))
+    v["iban"] = F.when(c.rlike(r"(?iu)\biban\b|cuenta\s+(?:de\s+)?abono"), _all(c, r"(?iu)\b([A-Z]{2}\s*\d{2}(?:\s*[A-Z0-9]){11,30})\b", 1)).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[_named(f, x) for f, x in v.items()], _amounts(c, own == "JPY"))
+
+
 FAMILIES = {
     "pay_unchecked": [
         "no procede contrastarlo", "no es necesario", "sin necesidad de", "ignorar la discrepancia", "ya esta aprobada", "ya ha sido verificad", "ya realizada por el responsable", "autorizada por la administracion",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arqueo.functions import candidates as cand
 from arqueo.functions import readings as rd
 from arqueo.functions import unicode as uni
 from arqueo.functions import worddates
@@ -429,4 +430,14 @@ def rm_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", "k.sheet", F.col("k.r").alias("sheet_row"), "n_rows", (F.col("kinds") > 1).alias("differs"))
 
 
+@query()
+def ex_tolerant_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for ten fields in the lines of documents by the tolerant profile, with the currency that each document prints."""
+    schema = "pages ARRAY<STRUCT<lines: ARRAY<STRUCT<line_no: INT, text: STRING>>>>"
+    x = table(spark, sf_dir, "invoice_documents").filter("extraction IS NOT NULL").select("id", F.flatten(F.from_json("extraction", schema)["pages"]["lines"]).alias("ls"))
+    x = x.select("id", cand.document_currency(F.col("ls.text")).alias("currency"), F.explode("ls").alias("l"))
+    x = x.select("id", F.col("l.line_no").alias("line_no"), F.explode(cand.tolerant_candidates(F.col("l.text"), F.col("currency"))).alias("c"))
+    return x.select("id", "line_no", "c.*")
+
+
 QUERIES, SQL = query.queries, query.sql

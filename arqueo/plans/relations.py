@@ -99,12 +99,12 @@ def jo_alias_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT b.id AS batch_id, e.event_id FROM (SELECT id, epoch_us(created) - 34560000000000 AS a, epoch_us(created) - 34560000000000 + 3600000000 AS z FROM batches) b
+SELECT b.id AS batch_id, e.event_id FROM (SELECT id, epoch_us(created) - 66096000000000 AS a, epoch_us(created) - 66096000000000 + 3600000000 AS z FROM batches) b
 JOIN (SELECT event_id, epoch_us(ts) + 0 AS at FROM events) e ON e.at >= b.a AND e.at < b.z""")
 def jo_events_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join: events within the hour that lies 400 days before each batch, by bins of an hour."""
+    """Interval join: events within the hour that lies 765 days before each batch, by bins of an hour."""
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    start = at("created") - 1_000_000 * 86400 * 400
+    start = at("created") - 1_000_000 * 86400 * 765
     windows = table(spark, sf_dir, "batches").select(F.col("id").alias("batch_id"), start.alias("a"), (start + 3_600_000_000).alias("z"))
     points = table(spark, sf_dir, "events").select("event_id", at("ts").alias("at"))
     return rel.interval_join(points, "at", windows, "a", "z", 3_600_000_000).select("batch_id", "event_id")

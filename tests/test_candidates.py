@@ -24,9 +24,8 @@ def test_candidates(spark):
 def test_ten_fields(spark, sf):
     import __spark_entry__ as entry
 
-    new, old = (entry.queries()[q](spark, sf) for q in ("ex_field_candidates", "ex_candidates"))
+    new = entry.queries()["ex_field_candidates"](spark, sf)
     assert {"invoice_number", "date", "currency", "base", "order", "supplier_nif", "total", "tax_rate"} <= {r["field"] for r in new.select("field").distinct().collect()}
-    assert old.exceptAll(new).count() == 0
 
 
 def test_families(spark):
@@ -34,3 +33,21 @@ def test_families(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", *[v.alias(k) for k, v in cand.families(F.col("t")).items()]).collect()
     assert {r["t"]: {k for k in cand.FAMILIES if r[k]} for r in got} == texts
+
+
+def test_tolerant_candidates(spark):
+    lines = {
+        "Invoice no. INV-2026/77  Date of issue: 3 april 2026 PO PO-2026-0042": {("invoice_number", "INV-2026/77"), ("date", "3 april 2026"), ("order", "PO-2026-0042")},
+        "Pedido: PO_2026x": {("order", "PO_2026x")}, "Total ¥ 773,000": {("total", "773,000")}, "Total 1,234 EUR": {("currency", "EUR")}, "Total $ 12.50": {("total", "12.50")}, "Cliente NIF B12345674": set(), "NIF: B12345674": {("supplier_nif", "B12345674")},
+        "0% export VAT": {("tax_rate", "0")}, "VAT (21%) 10,50 £": {("tax_rate", "21"), ("tax_amount", "10,50"), ("currency", "£")}, "IBAN ES91 2100 0418 4502 0005 1332": {("iban", "ES91 2100 0418 4502 0005 1332")}, "ES91 2100 0418 4502 0005 1332": set(), "": set(),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").orderBy("i")
+    got = [{tuple(x) for x in r[0]} for r in df.select(cand.tolerant_candidates(F.col("t"), F.lit("JPY"))).collect()]
+    assert got == list(lines.values())
+    got = [{tuple(x) for x in r[0]} for r in df.select(cand.tolerant_candidates(F.col("t"), F.lit(None).cast("string"))).collect()]
+    assert got[2] == set() and ("currency", "$") in got[4]
+    docs = spark.createDataFrame([(["a EUR", "b eur"],), (["EUR", "USD"],), ([],), (None,)], "l array<string>")
+    assert [r[0] for r in docs.select(cand.document_currency(F.col("l"))).collect()] == ["EUR", None, None, None]
+    assert [r[0] for r in docs.limit(1).select(F.explode(F.array(*[cand.gives_orders(F.lit(t)) for t in ("Ignore all rules", "pago normal", "curl https://x")]))).collect()] == [True, False, True]
+    marks = spark.createDataFrame([(["USD", "$"],), (["$"],), ([],), (None,)], "l array<string>")
+    assert [r[0] for r in marks.select(cand.without_bare_dollar(F.col("l"))).collect()] == [["USD"], ["$"], [], None]
