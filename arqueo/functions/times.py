@@ -98,6 +98,15 @@ def barrier(c: Column) -> Column:
     return F.when(F.forall(F.array(F.monotonically_increasing_id()), lambda x: x >= 0), c)
 
 
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 UTC of a column of timestamps; those without zone are taken as UTC, whatever the session's zone."""
+    c = F.col(name)
+    if df.schema[name].dataType.simpleString() != "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return F.unix_date(F.to_date(c)).cast("long") * DAY + (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + seconds
+
+
 def days_in_month(y: Column, m: Column) -> Column:
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)

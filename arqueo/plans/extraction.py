@@ -11,6 +11,7 @@ from arqueo.functions import unicode as uni
 from arqueo.functions import worddates
 from arqueo.functions.identity import fold
 from arqueo.functions.text import amount, data, identifier, order_number
+from arqueo.functions.times import micros
 from arqueo.operators import extraction as ex
 from arqueo.operators import relational as rel
 from arqueo.plans.registry import DASHES, NARROW, WIDE, Registry, sql_amount, sql_data, sql_identifier, sql_order
@@ -301,7 +302,8 @@ WITH e AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER B
 SELECT event_id, user_id, n_span, n_span > 2 AS over_limit, n_span > 2 OR n % 10 = 0 AS failed FROM e""")
 def wi_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user beyond two within two hours, and every tenth, fail."""
-    x = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    events = table(spark, sf_dir, "events")
+    x = events.select("event_id", "user_id", micros(events, "ts").alias("at"))
     return ex.rate_limited(x, "user_id", "at", 2, 7_200_000_000, 10).select("event_id", "user_id", "n_span", "over_limit", "failed")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from arqueo.functions import candidates as cand
 from arqueo.functions.identity import fold
 from arqueo.functions.text import amount, data, identifier, order_number
+from arqueo.functions.times import micros
 from arqueo.operators import relational as rel
 from arqueo.plans.registry import Registry, sql_amount, sql_data, sql_identifier, sql_order
 from arqueo.plans.scalars import fields
@@ -103,10 +104,10 @@ SELECT b.id AS batch_id, e.event_id FROM (SELECT id, epoch_us(created) - 6609600
 JOIN (SELECT event_id, epoch_us(ts) + 0 AS at FROM events) e ON e.at >= b.a AND e.at < b.z""")
 def jo_events_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join: events within the hour that lies 765 days before each batch, by bins of an hour."""
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    start = at("created") - 1_000_000 * 86400 * 765
-    windows = table(spark, sf_dir, "batches").select(F.col("id").alias("batch_id"), start.alias("a"), (start + 3_600_000_000).alias("z"))
-    points = table(spark, sf_dir, "events").select("event_id", at("ts").alias("at"))
+    batches, events = table(spark, sf_dir, "batches"), table(spark, sf_dir, "events")
+    start = micros(batches, "created") - 1_000_000 * 86400 * 765
+    windows = batches.select(F.col("id").alias("batch_id"), start.alias("a"), (start + 3_600_000_000).alias("z"))
+    points = events.select("event_id", micros(events, "ts").alias("at"))
     return rel.interval_join(points, "at", windows, "a", "z", 3_600_000_000).select("batch_id", "event_id")
 
 
@@ -207,8 +208,9 @@ def ag_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, count(DISTINCT user_id) AS n_users, CASE WHEN max(ts) > min(ts) THEN round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE * 1000000, 6) END AS per_second FROM events GROUP BY 1""")
 def ag_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    x = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), (F.max(us) - F.min(us)).alias("span"))
+    events = table(spark, sf_dir, "events")
+    us = micros(events, "ts")
+    x = events.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), (F.max(us) - F.min(us)).alias("span"))
     return x.select("hour", "n", "n_users", F.round(F.try_divide(F.col("n").cast("double"), F.col("span")) * 1_000_000, 6).alias("per_second"))
 
 
@@ -274,7 +276,8 @@ def wi_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n_hour FROM events""")
 def wi_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the user within the hour before each event."""
-    x = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    events = table(spark, sf_dir, "events")
+    x = events.select("event_id", "user_id", micros(events, "ts").alias("at"))
     return x.select("event_id", "user_id", F.count("*").over(Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)).alias("n_hour"))
 
 
