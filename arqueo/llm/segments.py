@@ -62,12 +62,12 @@ class Segments:
         return sorted(int(n.removeprefix("bucket=")) for n in self._names(s.path) if n.startswith("bucket="))
 
     def write(self, step: int, df: DataFrame) -> None:
-        """Puts df (a written table, with hash) in as the rows of a step. A step that lies in a merged segment is there already."""
+        """Puts df (a written table, with hash) in as the rows of a step. A step that lies in a merged segment has been followed by others; it is there already."""
         own = [s for s in self.segments() if s.first <= step <= s.last]
         if own and own[0].first < own[0].last:
             return
         self._put(step, step, df.withColumn("step", F.lit(step)), [n.path for n in own])
-        self._merged()
+        self._merged(step)
 
     def _put(self, first: int, last: int, df: DataFrame, replaced: list[str]) -> None:
         n = df.count()
@@ -82,10 +82,11 @@ class Segments:
         if not fs.rename(self._path(tmp), self._path(target)):
             raise OSError(f"can't rename {tmp}")
 
-    def _merged(self) -> None:
-        """Newest segments are merged as soon as there are enough of them, none larger than all newer ones together."""
+    def _merged(self, step: int) -> None:
+        """The newest segments before the step are merged as soon as there are enough of them, none larger than all newer ones together.
+        The step's own stays by itself, as it may have to run again."""
         tail: list[Segment] = []
-        for s in reversed(self.segments()):
+        for s in reversed([s for s in self.segments() if s.last < step]):
             if tail and (1 << s.bits) > sum(1 << t.bits for t in tail):
                 break
             tail.insert(0, s)
