@@ -81,6 +81,13 @@ def sealed(df: DataFrame, series: str, order: str, body: str, seed: str = "0" *
     return x.drop("__b").join(links, [series, order])
 
 
+def page(df: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, int, int]:
+    """(rows, number, pages) of a page of ``size`` rows; a number below the first or above the last page is that page. An empty table has one empty page."""
+    pages = max(1, -(-df.count() // size))
+    number = min(max(1, number), pages)
+    return df.orderBy(*order).offset((number - 1) * size).limit(size), number, pages
+
+
 def missing_only(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``new``, one for each key, whose key isn't in ``existing``: what an append that may run twice adds."""
     return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")

@@ -11,6 +11,7 @@ from arqueo.functions import readings as rd
 from arqueo.functions.identity import iban_valid, spanish_number
 from arqueo.functions.text import amount, data, identifier, order_number
 from arqueo.functions.times import with_time
+from arqueo.operators import relational as rel
 from arqueo.plans.extraction import _field, _value
 from arqueo.plans.registry import Registry, sql_amount, sql_data, sql_identifier, sql_order
 from arqueo.plans.scalars import fields
@@ -131,6 +132,16 @@ def so_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # of 40 rows
 
 
+@query("""
+WITH d AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n, count(*) OVER () AS total FROM orders)
+SELECT o_orderkey, o_totalprice, CAST((total + 39) // 40 AS INTEGER) AS page FROM d WHERE n > (total + 39) // 40 * 40 - 40""")
+def so_clamped_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far beyond the end is the last one."""
+    x = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    rows, number, _ = rel.page(x, [F.col("o_totalprice"), F.col("o_orderkey")], 1_000_000, 40)
+    return rows.withColumn("page", F.lit(number))
+
+
 # --- checks of what is kept and delivered
 
 

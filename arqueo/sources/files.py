@@ -122,6 +122,23 @@ def label_files(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.explode("m").alias("file_id", "l")).select("file_id", F.explode("l.fields").alias("field", "expected"))
 
 
+def export_gate(documents: DataFrame, decisions: DataFrame, code_hash: str, chain: DataFrame | None = None) -> DataFrame:
+    """file_id and result of every document, if nothing speaks against exporting them, else ValueError with all reasons.
+
+    documents: id, file_id; decisions: document_id, result, code_hash, one current row a document; chain: rows at which a hash chain breaks (``relational.chain_breaks``).
+    Required: documents, file names that differ in NFC, a decision for each, all made by the code whose hash is given, and a whole chain.
+    """
+    ship(documents.sparkSession)
+    d = documents.select(F.col("id").alias("document_id"), nfc(F.col("file_id")).alias("file_id"))
+    x = d.join(decisions.select("document_id", "result", "code_hash"), "document_id", "left")
+    n, ids, names, open_, other = x.agg(F.count("*"), F.count_distinct("document_id"), F.count_distinct("file_id"), F.count_if(F.col("result").isNull()), F.count_if(F.col("result").isNotNull() & ~F.col("code_hash").eqNullSafe(F.lit(code_hash)))).first()
+    broken = 0 if chain is None else chain.limit(1).count()
+    reasons = {"no documents": n == 0, "repeated decisions": ids < n, "repeated names": ids == n and names < n, f"{open_} undecided": open_ > 0, f"{other} decided by other code": other > 0, "broken chain": broken > 0}
+    if any(reasons.values()):
+        raise ValueError(", ".join(k for k, v in reasons.items() if v))
+    return x.select("file_id", "result")
+
+
 #: The file of an export that says which version holds.
 POINTER = "CURRENT"
 

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from arqueo.sources.files import append_sealed, document_files, export_jsonl, exported, json_lines, label_files, put_blobs, put_missing, strict_csv
+from arqueo.sources.files import append_sealed, document_files, export_gate, export_jsonl, exported, json_lines, label_files, put_blobs, put_missing, strict_csv
 from arqueo.sources import pages as pg
 from arqueo.sources.pages import snapshot_rows
 from arqueo.sources.workbook import cells, history, read_workbook, sheet_page, sheet_table
@@ -197,3 +197,17 @@ def test_pages_over_http(spark):
     rows, bad = snapshot_rows(pages)
     assert sorted((r["snapshot_id"], r["id"]) for r in rows.collect()) == [("s1", "1"), ("s1", "2")] and bad.count() == 0
     server.shutdown()
+
+
+def test_export_gate(spark):
+    docs = lambda *r: spark.createDataFrame(r, "id string, file_id string")
+    made = lambda *r: spark.createDataFrame(r, "document_id string, result string, code_hash string")
+    two = docs(("1", "a"), ("2", "e\u0301"))
+    good = made(("1", "X", "h"), ("2", "Y", "h"), ("3", "Z", "h"))
+    assert sorted(map(tuple, export_gate(two, good, "h").collect())) == [("a", "X"), ("\u00e9", "Y")]
+    for d, m, chain, why in (
+        (docs(("1", "a")).limit(0), good, None, "no documents"), (two, made(("1", "X", "h")), None, "1 undecided"), (two, made(("1", "X", "h"), ("2", "Y", None)), None, "1 decided by other code"),
+        (docs(("1", "\u00e9"), ("2", "e\u0301")), good, None, "repeated names"), (two, good, two, "broken chain"), (two, made(("1", "X", "h"), ("1", "Y", "h"), ("2", "Y", "h")), None, "repeated decisions"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            export_gate(d, m, "h", chain)
